@@ -16,11 +16,12 @@ def ntz(text: str) -> Column:
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     """Elapsed seconds, with the fraction."""
-    return (later - earlier).cast("interval second").cast("decimal(20,6)").cast("double")
+    return (later - earlier).cast("interval second").cast("decimal(18,6)").cast("double")
 
 
 def epoch_seconds(time: Column) -> Column:
-    return seconds_between(time, ntz("1970-01-01 00:00:00"))
+    """Whole seconds since 1970."""
+    return (time - ntz("1970-01-01 00:00:00")).cast("interval second").cast("bigint")
 
 
 def elapsed_whole_days(later: Column, earlier: Column) -> Column:

@@ -376,38 +376,38 @@ def demographic_factors(requests: DataFrame, census: DataFrame) -> DataFrame:
 
 
 def combine(
-    requests: DataFrame,
-    crime: DataFrame,
-    weather: DataFrame,
-    traffic: DataFrame,
-    route_scores: DataFrame,
+    requests: DataFrame, crime: DataFrame | None = None, route_scores: DataFrame | None = None
 ) -> DataFrame:
-    """Context score of each request; a source without a row counts with its default.
+    """Context score of each request; a source without a value counts with its default.
 
-    Requests without a route take 0.5 for accidents and a lower confidence.
+    ``requests`` carry ``weather_risk_score`` and ``congestion_risk_score`` from ``weather_at`` and
+    ``traffic_at``; places and routes are joined here. Requests without a route take 0.5 for accidents
+    and a lower confidence.
     """
-    routes = route_scores.select("route_id", F.col("route_accident_score").alias("_route_score"))
-    joined = (
-        requests.join(crime.select(*PLACE, "crime_risk_score"), [*PLACE], "left")
-        .join(weather.select("request_id", "weather_risk_score"), "request_id", "left")
-        .join(traffic.select("request_id", "congestion_risk_score"), "request_id", "left")
-        .join(routes, "route_id", "left")
+    joined = requests
+    if crime is not None:
+        joined = joined.join(crime.select(*PLACE, "crime_risk_score"), [*PLACE], "left")
+    if route_scores is not None:
+        joined = joined.join(route_scores.select("route_id", "route_accident_score"), "route_id", "left")
+
+    def source(name: str, default: float) -> Column:
+        return F.coalesce(name, F.lit(default)) if name in joined.columns else F.lit(default)
+
+    routed = F.col("route_id").isNotNull() if "route_id" in joined.columns else F.lit(False)
+    scored = (
+        joined.withColumn("crime_risk", source("crime_risk_score", 0.3))
+        .withColumn("weather_risk", source("weather_risk_score", 0.2))
+        .withColumn("traffic_risk", source("congestion_risk_score", 0.3))
+        .withColumn("_accident", F.when(routed, source("route_accident_score", 0.4)))
+    )
+    total = scores.combined_context_score(
+        F.col("crime_risk"), F.col("weather_risk"), F.col("traffic_risk"), F.col("_accident")
     )
-    accident = F.when(F.col("route_id").isNotNull(), F.coalesce("_route_score", F.lit(0.4)))
     return (
-        joined.withColumn("crime_risk", F.coalesce("crime_risk_score", F.lit(0.3)))
-        .withColumn("weather_risk", F.coalesce("weather_risk_score", F.lit(0.2)))
-        .withColumn("traffic_risk", F.coalesce("congestion_risk_score", F.lit(0.3)))
-        .withColumn("_accident", accident)
-        .withColumn("accident_risk", F.coalesce("_accident", F.lit(0.5)))
-        .withColumn(
-            "contextual_risk_score",
-            scores.combined_context_score(
-                F.col("crime_risk"), F.col("weather_risk"), F.col("traffic_risk"), F.col("_accident")
-            ),
-        )
+        scored.withColumn("accident_risk", F.coalesce("_accident", F.lit(0.5)))
+        .withColumn("contextual_risk_score", total)
         .withColumn("risk_level", scores.service_category(F.col("contextual_risk_score")))
         .withColumn("confidence", scores.context_confidence(F.col("_accident")))
         .withColumn("recommendations", text.context_advice(F.col("contextual_risk_score")))
-        .drop("_accident", "_route_score", "crime_risk_score", "weather_risk_score", "congestion_risk_score")
+        .drop("_accident")
     )

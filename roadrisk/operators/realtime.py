@@ -96,44 +96,61 @@ def add_patterns(scored: DataFrame, rules: StreamRules = STREAM_RULES) -> DataFr
 
 def idle_sessions(events: DataFrame, idle_seconds: int = HOUR) -> DataFrame:
     """Session number per driver: a longer pause than the idle time starts a new one."""
-    return with_sessions(events, ("driver_id",), *EVENT_ORDER, gap_seconds=idle_seconds)
+    return with_sessions(events, ("driver_id",), *EVENT_ORDER, {"session": idle_seconds})
 
 
-def recent_counts(
-    events: DataFrame, idle_seconds: int = HOUR, rules: StreamRules = STREAM_RULES
-) -> DataFrame:
+def _with_recent_counts(events: DataFrame, session: str, rules: StreamRules) -> DataFrame:
     """Harsh and speeding events among the newest eleven of the session, the current one included."""
     return rolling(
-        idle_sessions(events, idle_seconds),
-        ("driver_id", "session"),
+        events,
+        ("driver_id", session),
         "position",
         rules.pattern_rows,
         {
             "recent_events": lambda frame: F.count("*").over(frame),
-            "recent_harsh": lambda frame: F.count(F.when(F.col("is_harsh"), 1)).over(frame),
-            "recent_speeding": lambda frame: F.count(F.when(F.col("is_speeding"), 1)).over(frame),
+            "recent_harsh": lambda frame: F.count_if("is_harsh").over(frame),
+            "recent_speeding": lambda frame: F.count_if("is_speeding").over(frame),
         },
-    ).drop("position", "session")
+    )
+
+
+def _with_average(scored: DataFrame, session: str, rules: StreamRules) -> DataFrame:
+    return rolling(
+        scored,
+        ("driver_id", session),
+        "position",
+        rules.rolling_rows,
+        {"avg_risk": lambda frame: F.avg("risk_score").over(frame)},
+    )
 
 
 def risk_patterns(
     events: DataFrame, idle_seconds: int = HOUR, rules: StreamRules = STREAM_RULES
 ) -> DataFrame:
     """Scored events with the pattern terms; speeding counts each event's own speeding flag."""
-    return add_patterns(recent_counts(score_events(events, rules), idle_seconds, rules), rules)
+    placed = idle_sessions(score_events(events, rules), idle_seconds)
+    return add_patterns(_with_recent_counts(placed, "session", rules), rules).drop("session", "position")
 
 
 def rolling_risk(
     scored: DataFrame, idle_seconds: int = DAY, rules: StreamRules = STREAM_RULES
 ) -> DataFrame:
     """Mean of the last 100 scores of a driver, starting over after a day without events."""
-    return rolling(
-        idle_sessions(scored, idle_seconds),
-        ("driver_id", "session"),
-        "position",
-        rules.rolling_rows,
-        {"avg_risk": lambda frame: F.avg("risk_score").over(frame)},
-    ).drop("position", "session")
+    return _with_average(idle_sessions(scored, idle_seconds), "session", rules).drop("session", "position")
+
+
+def risk_history(
+    events: DataFrame,
+    pattern_idle: int = HOUR,
+    rolling_idle: int = DAY,
+    rules: StreamRules = STREAM_RULES,
+) -> DataFrame:
+    """Scored events with pattern terms and the rolling mean; places and both kinds of sessions come
+    from one pass. The batch twin of ``streaming.history.with_history``."""
+    sessions = {"_pattern_session": pattern_idle, "_rolling_session": rolling_idle}
+    placed = with_sessions(score_events(events, rules), ("driver_id",), *EVENT_ORDER, sessions)
+    scored = add_patterns(_with_recent_counts(placed, "_pattern_session", rules), rules)
+    return _with_average(scored, "_rolling_session", rules).drop(*sessions, "position")
 
 
 def recent_cache(

@@ -9,7 +9,7 @@ time span divided by the slot width, not by its rows. Results equal those of the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -95,29 +95,27 @@ def with_sessions(
     keys: Sequence[str],
     time: str,
     ties: Sequence[str],
-    gap_seconds: int,
+    gaps: Mapping[str, int],
     slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
-    """Add ``session`` (a longer pause than the gap starts the next one, from 1) and ``position``.
+    """Add session numbers and ``position``, the row number from 1 inside the key.
 
-    Slots are never wider than the gap, so a pause can only lie between two slots and the sessions
-    follow from the first and last time of every slot.
+    ``gaps`` names one session column per pause in seconds; a longer pause than that starts the next
+    session. Slots are never wider than the shortest gap, so a pause that counts can only lie between
+    two slots, and all sessions follow from the first and last time of every slot.
     """
-    slotted = df.withColumn(SLOT, time_slot(time, min(slot_seconds, gap_seconds)))
+    slotted = df.withColumn(SLOT, time_slot(time, min(slot_seconds, *gaps.values())))
     in_key = Window.partitionBy(*keys).orderBy(SLOT)
+    so_far = in_key.rowsBetween(Window.unboundedPreceding, 0)
     earlier = in_key.rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.coalesce(
-        (seconds_between(F.col("_first"), F.lag("_last").over(in_key)) > gap_seconds).cast("int"),
-        F.lit(0),
-    )
     slots = (
         slotted.groupBy(*keys, SLOT)
         .agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.count("*").alias("_rows"))
-        .withColumn("_starts", starts)
+        .withColumn("_pause", seconds_between(F.col("_first"), F.lag("_last").over(in_key)))
         .select(
             *keys,
             SLOT,
-            (1 + F.sum("_starts").over(in_key.rowsBetween(Window.unboundedPreceding, 0))).alias("session"),
+            *[(1 + F.count_if(F.col("_pause") > gap).over(so_far)).alias(name) for name, gap in gaps.items()],
             F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
         )
     )
@@ -125,7 +123,7 @@ def with_sessions(
     return (
         slotted.join(slots, [*keys, SLOT])
         .withColumn("position", F.col("_offset") + rank)
-        .select(*df.columns, "session", "position")
+        .select(*df.columns, *gaps, "position")
     )
 
 

@@ -303,13 +303,9 @@ JOIN t_weather w USING (request_id) JOIN t_traffic t USING (request_id) LEFT JOI
 
 
 def combined(i: Inputs) -> DataFrame:
-    return context.combine(
-        i.context_requests,
-        crime(i),
-        weather(i),
-        context.traffic_at(i.context_requests, i.traffic_obs),
-        context.accident_risk(i.route_points, i.traffic_accidents, AS_OF_EXTERNAL),
-    )
+    observed = context.traffic_at(weather(i), i.traffic_obs)
+    routes = context.accident_risk(i.route_points, i.traffic_accidents, AS_OF_EXTERNAL)
+    return context.combine(observed, crime(i), routes)
 
 
 @query(

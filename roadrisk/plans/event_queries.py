@@ -117,7 +117,7 @@ def risk_patterns(i):
 
 @query("win_rolling_risk", keep="event_id driver_id", nums="risk_score avg_risk", sql="SELECT * FROM t_rolling")
 def _(i):
-    return realtime.rolling_risk(patterned(i), IDLE)
+    return realtime.risk_history(i.telematics_events, IDLE, IDLE)
 
 
 @query(

@@ -180,11 +180,20 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Over all cores where a small file gives fewer splits than there are cores; large tables
+        come in enough splits and are left as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in RELATIONS:
             raise AttributeError(name)
         text = RELATIONS[name]
         for table in TABLES:
             if re.search(rf"\b(FROM|JOIN) {table}\b", text):
-                self.table(table).createOrReplaceTempView(table)
+                rows = self.table(table)
+                if "{series:" in text:
+                    rows = self.spread(rows)
+                rows.createOrReplaceTempView(table)
         return self.spark.sql(spark_text(name))
