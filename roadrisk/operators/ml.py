@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from roadrisk.config import ML_FEATURES, MODEL_RULES, ModelRules
-from roadrisk.functions.scores import clamp, training_category
+from roadrisk.functions.scores import clamp, service_category, training_category
 from roadrisk.operators.stats import impute_medians, macro_auc, regression_metrics
 from roadrisk.sources.scratch import cut_lineage
 
@@ -111,6 +111,7 @@ class RiskModel:
     regressor: object
     classifiers: dict[str, object]
     labels: list[str]
+    train_rows: int
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``risk_score``, ``category`` and one probability per class."""
@@ -131,7 +132,14 @@ class RiskModel:
             total = sum(raw.values(), F.lit(0.0))
             chances = {label: chance / total for label, chance in raw.items()}
         scored = scored.withColumns({f"p_{label}": chance for label, chance in chances.items()})
-        best = F.array_max(F.array(*[F.struct(F.col(f"p_{l}").alias("p"), F.lit(-k).alias("k"), F.lit(l).alias("label")) for k, l in enumerate(self.labels)]))
+        best = F.array_max(
+            F.array(
+                *[
+                    F.struct(F.col(f"p_{label}").alias("p"), F.lit(-k).alias("k"), F.lit(label).alias("label"))
+                    for k, label in enumerate(self.labels)
+                ]
+            )
+        )
         result = scored.withColumn("category", best["label"])
         columns = ["driver_id", "risk_score", "category", *[f"p_{label}" for label in self.labels]]
         extra = [c for c in keep if c not in (*columns, "driver_id")]
@@ -158,10 +166,11 @@ class TrainedModels:
 
 
 def _preparation(train: DataFrame, names: Sequence[str]) -> PipelineModel:
-    """Assembled and centred vectors; the sample deviation differs from the population one only by
-    a factor common to all rows, which ``_rescaled`` removes."""
-    from pyspark.ml import Pipeline
+    """Assembled, centred vectors of unit sample deviation.
 
+    The population deviation differs by a factor common to all features, which matters to the
+    penalized logistic models only; ``fit_family`` corrects their penalty for it.
+    """
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(names), outputCol="assembled"),
@@ -200,7 +209,8 @@ def fit_family(
         classifiers = _fit_binary(
             lambda: LogisticRegression(
                 labelCol="_is",
-                regParam=1.0 / (n * rules.inverse_penalty),
+                # (n - 1) / n: the penalty as if features had unit population deviation
+                regParam=(n - 1) / n / (n * rules.inverse_penalty),
                 maxIter=rules.max_iterations,
                 standardization=False,
                 **common,
@@ -220,7 +230,7 @@ def fit_family(
         classifiers = _fit_binary(lambda: GBTClassifier(labelCol="_is", **boost), rows, labels)
     else:
         raise ValueError(f"unknown model family {name}")
-    return RiskModel(name, list(names), preparation, regressor, classifiers, labels)
+    return RiskModel(name, list(names), preparation, regressor, classifiers, labels, n)
 
 
 def importance_of(model: RiskModel) -> dict[str, float]:
@@ -229,7 +239,8 @@ def importance_of(model: RiskModel) -> dict[str, float]:
     if hasattr(model.regressor, "featureImportances"):
         values = model.regressor.featureImportances.toArray()
     else:
-        values = abs(model.classifiers[model.labels[0]].coefficients.toArray())
+        to_population_scale = ((model.train_rows - 1) / model.train_rows) ** 0.5
+        values = abs(model.classifiers[model.labels[0]].coefficients.toArray()) * to_population_scale
     return dict(zip(model.features, (float(v) for v in values)))
 
 
@@ -304,8 +315,6 @@ def _known(features: DataFrame) -> list[str]:
 
 def batch_score(trained: TrainedModels, features: DataFrame, name: str = "random_forest") -> DataFrame:
     """Score, service category and number of drivers of each category."""
-    from roadrisk.functions.scores import service_category
-
     return predict_scores(trained, features, name).withColumn(
         "risk_category", service_category(F.col("risk_score"))
     )

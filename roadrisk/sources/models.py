@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from roadrisk.operators.ml import RiskModel, TrainedModels
 
-CATALOG = "name string, training_order int, features array<string>, labels array<string>, classifiers array<string>"
+CATALOG = "name string, training_order int, features array<string>, labels array<string>, classifiers array<string>, train_rows bigint"
 
 
 def save_models(spark: SparkSession, trained: TrainedModels, folder: str) -> None:
@@ -19,7 +19,7 @@ def save_models(spark: SparkSession, trained: TrainedModels, folder: str) -> Non
         model.regressor.write().overwrite().save(f"{folder}/{name}/regressor")
         for label, classifier in model.classifiers.items():
             classifier.write().overwrite().save(f"{folder}/{name}/classifier-{label}")
-        rows.append((name, order, model.features, model.labels, list(model.classifiers)))
+        rows.append((name, order, model.features, model.labels, list(model.classifiers), model.train_rows))
     spark.createDataFrame(rows, CATALOG).coalesce(1).write.mode("overwrite").parquet(f"{folder}/catalog")
 
 
@@ -38,5 +38,6 @@ def load_models(spark: SparkSession, folder: str) -> TrainedModels:
             load(f"{base}/regressor"),
             {label: load(f"{base}/classifier-{label}") for label in row["classifiers"]},
             list(row["labels"]),
+            row["train_rows"],
         )
     return trained
