@@ -8,10 +8,14 @@ from roadrisk.config import TRIP_RULES, TripRules
 from roadrisk.functions import clock
 from roadrisk.operators.sequence import with_previous
 
-POINT_ORDER = ("timestamp", ("seq",))
 MPH_TO_MS = 0.44704
 
 
+def point_ties(points: DataFrame) -> tuple[str, ...]:
+    """Columns that order points of the same time, as far as the table has them."""
+    return tuple(name for name in ("seq",) if name in points.columns)
+
+
 def parse_timestamps(df: DataFrame, column: str = "timestamp") -> DataFrame:
     """Text times become zone-free timestamps; other types are left alone."""
     if df.schema[column].dataType.typeName() != "string":
@@ -58,8 +62,7 @@ def clean(df: DataFrame, rules: TripRules = TRIP_RULES) -> DataFrame:
 
 def sort_points(df: DataFrame) -> DataFrame:
     """Output order; the tie-break column also lets the range sort cut a busy driver."""
-    ties = [name for name in POINT_ORDER[1] if name in df.columns]
-    return df.orderBy("driver_id", "timestamp", *ties)
+    return df.orderBy("driver_id", "timestamp", *point_ties(df))
 
 
 def of_driver(df: DataFrame, driver_id: str) -> DataFrame:
@@ -112,7 +115,7 @@ def with_acceleration(points: DataFrame, per_second: bool = False) -> DataFrame:
     By default points are taken as one second apart; ``per_second`` divides by the elapsed time.
     """
     stepped = with_previous(
-        points, ("driver_id", "trip_id"), *POINT_ORDER, columns=("speed_mph", "timestamp")
+        points, ("driver_id", "trip_id"), "timestamp", point_ties(points), ("speed_mph", "timestamp")
     )
     change = (F.col("speed_mph") - F.col("prev_speed_mph")) * MPH_TO_MS
     if per_second:

@@ -109,12 +109,18 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
-    """Mean squared error and 1 - SSres / SStot in one pass."""
+    """Mean squared error and 1 - SSres / SStot in one pass.
+
+    With a constant truth, R² is 1 for a perfect prediction and 0 otherwise.
+    """
     error = F.col(truth) - F.col(prediction)
-    return df.agg(
-        F.avg(error * error).alias("mse"),
-        (1 - F.sum(error * error) / (F.var_pop(truth) * F.count(truth))).alias("r2"),
+    sums = df.agg(
+        F.avg(error * error).alias("mse"), F.var_pop(truth).alias("_spread"), F.count(truth).alias("_rows")
+    )
+    r2 = F.when(F.col("_spread") > 0, 1 - F.col("mse") / F.nullif("_spread", F.lit(0.0))).when(
+        F.col("_rows") > 0, F.when(F.col("mse") == 0, 1.0).otherwise(0.0)
     )
+    return sums.select("mse", r2.alias("r2"))
 
 
 def macro_auc(df: DataFrame, truth: str, class_scores: Mapping[str, str]) -> DataFrame:

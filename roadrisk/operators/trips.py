@@ -26,7 +26,7 @@ TRIP_KEY = ("driver_id", "trip_id")
 def step_distances(points: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Previous point and step length of every point; null at the first point of a trip."""
     stepped = with_previous(
-        points, TRIP_KEY, *cleaning.POINT_ORDER, ("latitude", "longitude"), slot_seconds
+        points, TRIP_KEY, "timestamp", cleaning.point_ties(points), ("latitude", "longitude"), slot_seconds
     )
     return stepped.withColumn(
         "step_miles",
@@ -94,10 +94,6 @@ def _path(
     return stepped, F.coalesce(F.sum("_step"), F.lit(0.0)) + between
 
 
-def _present_ties(points: DataFrame) -> tuple[str, ...]:
-    return tuple(name for name in cleaning.POINT_ORDER[1] if name in points.columns)
-
-
 def trip_durations(points: DataFrame) -> DataFrame:
     return (
         points.groupBy(*TRIP_KEY)
@@ -109,7 +105,7 @@ def trip_durations(points: DataFrame) -> DataFrame:
 def trip_distances(
     points: DataFrame, radius: float = TRIP_EARTH_RADIUS, slot_seconds: int = SLOT_SECONDS
 ) -> DataFrame:
-    stepped, miles = _path(points, TRIP_KEY, _present_ties(points), radius, slot_seconds)
+    stepped, miles = _path(points, TRIP_KEY, cleaning.point_ties(points), radius, slot_seconds)
     return stepped.groupBy(*TRIP_KEY).agg(miles.alias("distance_miles"))
 
 
@@ -133,7 +129,7 @@ def trip_features(
     ``group`` adds columns to the key, such as an upload or a bucket number.
     """
     key = [*group, *TRIP_KEY]
-    stepped, miles = _path(points, key, _present_ties(points), TRIP_EARTH_RADIUS, slot_seconds)
+    stepped, miles = _path(points, key, cleaning.point_ties(points), TRIP_EARTH_RADIUS, slot_seconds)
 
     def events(flag: Column) -> Column:
         return F.sum(flag.cast("long"))
@@ -288,7 +284,7 @@ def dataset_profile(points: DataFrame) -> DataFrame:
         F.coalesce(F.sum("points"), F.lit(0)).alias("total_records"),
         F.count_distinct("trip_id").alias("total_trips"),
         F.count_distinct("driver_id").alias("unique_drivers"),
-        (F.sum("speed_sum") / F.sum("speed_count")).alias("average_speed"),
+        (F.sum("speed_sum") / F.nullif(F.sum("speed_count"), F.lit(0))).alias("average_speed"),
         F.sum("harsh_braking").alias("harsh_braking_events"),
         F.sum("harsh_acceleration").alias("harsh_acceleration_events"),
         F.sum("phone_usage").alias("phone_usage_events"),

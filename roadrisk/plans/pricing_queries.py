@@ -9,6 +9,7 @@ from roadrisk.operators import ml, pricing, stats, trips
 from roadrisk.plans.registry import query, shared
 from roadrisk.plans.relations import AS_OF_EVENTS, AS_OF_YEAR, Inputs
 from roadrisk.plans.trip_queries import DOUBLE_FEATURES, INTEGER_FEATURES
+from roadrisk.sources.scratch import cut_lineage
 
 AS_OF = f"{AS_OF_YEAR}-02-01 00:00:00"
 
@@ -61,10 +62,10 @@ def spread_scores(drivers: DataFrame) -> DataFrame:
 
 
 def priced(i: Inputs, check: bool = False) -> DataFrame:
+    """Premiums; the check runs a job of its own, so the features are then computed once before it."""
     profiles = i.drivers
-    return pricing.price_all(
-        profiles, spread_scores(profiles), features(i), i.claims, i.zip_context, AS_OF, check
-    )
+    rows = cut_lineage(features(i)) if check else features(i)
+    return pricing.price_all(profiles, spread_scores(profiles), rows, i.claims, i.zip_context, AS_OF, check)
 
 
 @query(
@@ -152,7 +153,7 @@ def _(i):
 FROM drivers d JOIN t_spread s USING (driver_id) JOIN t_drivers f USING (driver_id)""",
 )
 def _(i):
-    return pricing.pricing_inputs(i.drivers, spread_scores(i.drivers), features(i))
+    return pricing.pricing_inputs(i.drivers, spread_scores(i.drivers), cut_lineage(features(i)))
 
 
 @query("prc_base", keep="driver_id claims_count", nums="base_premium", sql="SELECT * FROM t_rated")

@@ -35,6 +35,8 @@ POINTS = _schema(
     over_speed_limit=T.IntegerType(),
 )
 
+PLAIN_POINTS = T.StructType([f for f in POINTS.fields if f.name != "seq"])
+
 EVENTS = _schema(
     event_id=T.LongType(),
     driver_id=T.StringType(),

@@ -12,9 +12,11 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
 def _read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The header is checked against the schema, so a file with other columns fails."""
     return (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("timestampNTZFormat", TIME_FORMAT)
         .csv(path)
     )
@@ -24,8 +26,9 @@ def _write_csv(df: DataFrame, path: str, mode: str) -> None:
     df.write.mode(mode).option("header", True).option("timestampNTZFormat", TIME_FORMAT).csv(path)
 
 
-def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, schemas.POINTS)
+def read_points_csv(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
+    """Points with their place in the trip (``seq``), or the plain 15 columns without it."""
+    return _read_csv(spark, path, schemas.POINTS if numbered else schemas.PLAIN_POINTS)
 
 
 def write_points_csv(points: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -38,11 +38,12 @@ def per_batch(
     make: Callable[[DataFrame], DataFrame] = lambda df: df,
     mode: str = "append",
     available_now: bool = True,
+    partitions: Sequence[str] = (),
 ) -> StreamingQuery:
     """Run a table operator on every micro-batch and write its result under the batch number."""
 
     def write(df: DataFrame, number: int) -> None:
-        make(df).write.mode("overwrite").parquet(f"{folder}/{BATCH}={number}")
+        make(df).write.mode("overwrite").partitionBy(*partitions).parquet(f"{folder}/{BATCH}={number}")
 
     writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
     if available_now:
@@ -81,16 +82,25 @@ def alert_messages(scored: DataFrame) -> DataFrame:
 
 
 def store_latest_risk(scored: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Latest assessment per driver and trip of every micro-batch; read with ``latest_risk_table``."""
-    return per_batch(scored, folder, checkpoint, realtime.latest_risk)
+    """Latest assessment per driver and trip of every micro-batch, by day of the event; read with
+    ``latest_risk_table``."""
+
+    def by_day(df: DataFrame) -> DataFrame:
+        return realtime.latest_risk(df).withColumn("day", F.to_date("timestamp"))
+
+    return per_batch(scored, folder, checkpoint, by_day, partitions=("day",))
 
 
 def latest_risk_table(
     spark: SparkSession, folder: str, as_of: str | None = None, ttl_seconds: int = realtime.HOUR
 ) -> DataFrame:
-    table = newest_per_key(
-        read_batches(spark, folder), ("driver_id", "trip_id"), ("timestamp", "event_id")
-    )
+    """Latest assessments; with ``as_of`` those still alive, read from the days that can hold them."""
+    batches = read_batches(spark, folder)
+    if as_of is not None:
+        end = clock.ntz(as_of)
+        begin = end - F.make_dt_interval(secs=F.lit(ttl_seconds))
+        batches = batches.filter(F.col("day").between(begin.cast("date"), end.cast("date")))
+    table = newest_per_key(batches.drop("day"), ("driver_id", "trip_id"), ("timestamp", "event_id"))
     if as_of is None:
         return table
     age = clock.seconds_between(clock.ntz(as_of), F.col("timestamp"))
