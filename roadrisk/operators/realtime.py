@@ -35,62 +35,83 @@ def with_flags(events: DataFrame, rules: StreamRules = STREAM_RULES) -> DataFram
     )
 
 
-def score_events(events: DataFrame, rules: StreamRules = STREAM_RULES) -> DataFrame:
-    """Stateless score, event names and alert texts; valid on tables and on streams."""
-    speeding_text = F.concat(
+def with_score(events: DataFrame, rules: StreamRules = STREAM_RULES) -> DataFrame:
+    """Flags and the stateless score of each event."""
+    points = {
+        "harsh_braking": rules.braking_score,
+        "harsh_acceleration": rules.acceleration_score,
+        "is_speeding": rules.speeding_score,
+        "phone_usage": rules.phone_score,
+    }
+    score = F.lit(0.0)
+    for flag, value in points.items():
+        score = score + F.when(F.col(flag), value).otherwise(0.0)
+    return with_flags(events, rules).withColumn("risk_score", score)
+
+
+def with_texts(scored: DataFrame) -> DataFrame:
+    """Event names and alert texts from the flags.
+
+    Kept apart from the score, so that histories shuffle flags and numbers only and the texts are
+    made at the end.
+    """
+    speeding = F.concat(
         F.lit("Speeding: "),
         F.col("speed_mph").cast("string"),
         F.lit(" mph in "),
         F.col("speed_limit").cast("string"),
         F.lit(" mph zone"),
     )
-    checks = (
-        ("harsh_braking", "harsh_braking", rules.braking_score, F.lit("Harsh braking detected")),
-        ("harsh_acceleration", "harsh_acceleration", rules.acceleration_score, F.lit("Harsh acceleration detected")),
-        ("is_speeding", "speeding", rules.speeding_score, speeding_text),
-        ("phone_usage", "phone_usage", rules.phone_score, F.lit("Phone usage while driving")),
-    )
-    score = F.lit(0.0)
-    for flag, _, points, _ in checks:
-        score = score + F.when(F.col(flag), points).otherwise(0.0)
-    return (
-        with_flags(events, rules)
-        .withColumn("risk_events", text.present(*[(F.col(flag), name) for flag, name, _, _ in checks]))
-        .withColumn("risk_score", score)
-        .withColumn("immediate_alerts", text.present(*[(F.col(flag), words) for flag, _, _, words in checks]))
+    names = text.present(
+        (F.col("harsh_braking"), "harsh_braking"),
+        (F.col("harsh_acceleration"), "harsh_acceleration"),
+        (F.col("is_speeding"), "speeding"),
+        (F.col("phone_usage"), "phone_usage"),
     )
+    alerts_ = text.present(
+        (F.col("harsh_braking"), "Harsh braking detected"),
+        (F.col("harsh_acceleration"), "Harsh acceleration detected"),
+        (F.col("is_speeding"), speeding),
+        (F.col("phone_usage"), "Phone usage while driving"),
+    )
+    return scored.withColumn("risk_events", names).withColumn("immediate_alerts", alerts_)
+
+
+def score_events(events: DataFrame, rules: StreamRules = STREAM_RULES) -> DataFrame:
+    """Stateless score, event names and alert texts; valid on tables and on streams."""
+    return with_texts(with_score(events, rules))
 
 
-def add_patterns(scored: DataFrame, rules: StreamRules = STREAM_RULES) -> DataFrame:
-    """Pattern terms from ``recent_events``, ``recent_harsh`` and ``recent_speeding``."""
+def _patterns(rules: StreamRules) -> tuple[Column, Column]:
+    """Harsh and speeding pattern, from the counts of recent events."""
     enough = F.col("recent_events") >= 3
-    patterns = (
-        (
-            enough & (F.col("recent_harsh") >= rules.pattern_count),
-            "pattern_harsh_driving",
-            rules.harsh_pattern_score,
-            "Pattern of harsh driving detected",
-        ),
-        (
-            enough & (F.col("recent_speeding") >= rules.pattern_count),
-            "pattern_speeding",
-            rules.speeding_pattern_score,
-            "Repeated speeding violations detected",
-        ),
-    )
-    score = F.col("risk_score")
-    for hit, _, points, _ in patterns:
-        score = score + F.when(hit, points).otherwise(0.0)
     return (
-        scored.withColumn(
-            "risk_events",
-            F.concat("risk_events", text.present(*[(hit, name) for hit, name, _, _ in patterns])),
-        )
-        .withColumn(
-            "immediate_alerts",
-            F.concat("immediate_alerts", text.present(*[(hit, words) for hit, _, _, words in patterns])),
-        )
-        .withColumn("risk_score", score)
+        enough & (F.col("recent_harsh") >= rules.pattern_count),
+        enough & (F.col("recent_speeding") >= rules.pattern_count),
+    )
+
+
+def add_pattern_score(scored: DataFrame, rules: StreamRules = STREAM_RULES) -> DataFrame:
+    harsh, speeding = _patterns(rules)
+    return scored.withColumn(
+        "risk_score",
+        F.col("risk_score")
+        + F.when(harsh, rules.harsh_pattern_score).otherwise(0.0)
+        + F.when(speeding, rules.speeding_pattern_score).otherwise(0.0),
+    )
+
+
+def with_all_texts(scored: DataFrame, rules: StreamRules = STREAM_RULES) -> DataFrame:
+    """Texts of the event itself, then those of the patterns."""
+    harsh, speeding = _patterns(rules)
+    names = text.present((harsh, "pattern_harsh_driving"), (speeding, "pattern_speeding"))
+    alerts_ = text.present(
+        (harsh, "Pattern of harsh driving detected"), (speeding, "Repeated speeding violations detected")
+    )
+    return (
+        with_texts(scored)
+        .withColumn("risk_events", F.concat("risk_events", names))
+        .withColumn("immediate_alerts", F.concat("immediate_alerts", alerts_))
     )
 
 
@@ -128,8 +149,9 @@ def risk_patterns(
     events: DataFrame, idle_seconds: int = HOUR, rules: StreamRules = STREAM_RULES
 ) -> DataFrame:
     """Scored events with the pattern terms; speeding counts each event's own speeding flag."""
-    placed = idle_sessions(score_events(events, rules), idle_seconds)
-    return add_patterns(_with_recent_counts(placed, "session", rules), rules).drop("session", "position")
+    placed = idle_sessions(with_score(events, rules), idle_seconds)
+    scored = add_pattern_score(_with_recent_counts(placed, "session", rules), rules)
+    return with_all_texts(scored, rules).drop("session", "position")
 
 
 def rolling_risk(
@@ -148,9 +170,10 @@ def risk_history(
     """Scored events with pattern terms and the rolling mean; places and both kinds of sessions come
     from one pass. The batch twin of ``streaming.history.with_history``."""
     sessions = {"_pattern_session": pattern_idle, "_rolling_session": rolling_idle}
-    placed = with_sessions(score_events(events, rules), ("driver_id",), *EVENT_ORDER, sessions)
-    scored = add_patterns(_with_recent_counts(placed, "_pattern_session", rules), rules)
-    return _with_average(scored, "_rolling_session", rules).drop(*sessions, "position")
+    placed = with_sessions(with_score(events, rules), ("driver_id",), *EVENT_ORDER, sessions)
+    scored = add_pattern_score(_with_recent_counts(placed, "_pattern_session", rules), rules)
+    averaged = _with_average(scored, "_rolling_session", rules)
+    return with_all_texts(averaged, rules).drop(*sessions, "position")
 
 
 def recent_cache(

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from roadrisk.config import STREAM_RULES, StreamRules
-from roadrisk.operators.realtime import DAY, HOUR, add_patterns, score_events
+from roadrisk.operators.realtime import DAY, HOUR, add_pattern_score, with_all_texts, with_score
 from roadrisk.streaming.sources import with_event_time
 
 HISTORY_STATE = "last_us bigint, flags array<int>, scores array<double>"
@@ -48,9 +48,8 @@ def with_history(
     of the last ten events and the last 99 scores, freed when the longer idle time has passed.
     """
     scored = (
-        with_event_time(score_events(events, rules))
+        with_event_time(with_score(events, rules))
         .withWatermark("timestamp", delay)
-        .drop("risk_events", "immediate_alerts")
         .withColumn("_us", F.unix_micros("timestamp"))
     )
     expiry = max(pattern_idle, rolling_idle)
@@ -112,7 +111,7 @@ def with_history(
         step, schema, HISTORY_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     zone_free = kept.drop("_us").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-    return add_patterns(score_events(zone_free, rules), rules)
+    return with_all_texts(add_pattern_score(zone_free, rules), rules)
 
 
 def with_full_buckets(points: DataFrame, size: int = 1000) -> DataFrame:
