@@ -30,6 +30,53 @@ RISK_LEVEL_TITLES = {
     "very_high": "Very_High",
 }
 CONTEXT_WEIGHTS = {"crime": 0.25, "weather": 0.30, "traffic": 0.25, "accidents": 0.20}
+EVENT_ALERTS = {
+    "harsh_braking": "Harsh braking detected",
+    "harsh_acceleration": "Harsh acceleration detected",
+    "speeding": "Speeding: {speed} mph in {limit} mph zone",
+    "phone_usage": "Phone usage while driving",
+}
+PATTERN_ALERTS = {
+    "pattern_harsh_driving": "Pattern of harsh driving detected",
+    "pattern_speeding": "Repeated speeding violations detected",
+}
+HIGH_RISK_ADVICE = (
+    "Consider avoiding this area during peak hours",
+    "Use extra caution due to high risk factors",
+)
+MEDIUM_RISK_ADVICE = "Moderate risk area - drive defensively"
+PORTFOLIO_ADVICE = {
+    "many_high": "Consider additional driver training programs to reduce high-risk population",
+    "many_low": "Opportunity to attract more low-risk drivers with competitive pricing",
+    "wide_spread": "High premium variance suggests good risk differentiation",
+}
+ALERT_MESSAGE = "Risk Alert for Driver {driver}: {alerts}"
+ALERT_SUBJECT = "Telematics Risk Alert - {severity}"
+MISSING_FIELDS = "Missing required fields: {names}"
+FIRST_MISSING = "{name} is required"
+BATCH_TOO_LARGE = "Maximum batch size is {cap} drivers"
+PREMIUM_TEXT = (
+    ("Premium Calculation for Driver %s", "driver_id"),
+    ("==================================================",),
+    ("",),
+    ("Base Premium: $%.2f", "base_premium"),
+    ("Risk Level: %s (Score: %.3f)", "risk_title", "risk_score"),
+    ("Risk Multiplier: %sx", "risk_multiplier"),
+    ("",),
+    ("Adjustments:",),
+    ("  Mileage: %.3fx", "mileage_adjustment"),
+    ("  Temporal: %.3fx", "temporal_adjustment"),
+    ("  Contextual: %.3fx", "contextual_adjustment"),
+    ("",),
+    ("Final Premium: $%.2f", "final_premium"),
+    ("",),
+    ("Driving Behavior Highlights:",),
+    ("  Harsh Braking Events: %s", "harsh_braking_count"),
+    ("  Harsh Acceleration Events: %s", "harsh_acceleration_count"),
+    ("  Over Speed Ratio: %.1f%%", "over_speed_percent"),
+    ("  Phone Usage Ratio: %.1f%%", "phone_usage_percent"),
+    ("",),
+)
 REQUIRED_UPLOAD_FIELDS = ("driver_id", "trip_data")
 REQUIRED_POLICY_FIELDS = ("policy_number", "driver_id", "coverage_details")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-from roadrisk.config import RISK_LEVEL_TITLES
+from roadrisk import config
 
 
 def present(*items: tuple[Column, Column | str]) -> Column:
@@ -15,38 +17,40 @@ def present(*items: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*texts))
 
 
+def filled(template: str, **values: Column) -> Column:
+    """Template with its ``{name}`` places filled; null if a value is null."""
+    parts = re.split(r"\{(\w+)\}", template)
+    pieces = [values[part].cast("string") if k % 2 else F.lit(part) for k, part in enumerate(parts)]
+    return F.concat(*pieces)
+
+
 def missing_fields(fields: tuple[str, ...]) -> Column:
     return present(*[(F.col(name).isNull(), name) for name in fields])
 
 
 def missing_fields_message(missing: Column) -> Column:
     """One message naming every missing field, null when there is none."""
-    return F.when(
-        F.size(missing) > 0, F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", "))
-    )
+    return F.when(F.size(missing) > 0, filled(config.MISSING_FIELDS, names=F.array_join(missing, ", ")))
 
 
 def first_missing_message(missing: Column) -> Column:
     """Message of the first missing field only, null when there is none."""
-    return F.when(F.size(missing) > 0, F.concat(F.element_at(missing, 1), F.lit(" is required")))
+    return F.when(F.size(missing) > 0, filled(config.FIRST_MISSING, name=F.element_at(missing, 1)))
 
 
 def context_advice(score: Column) -> Column:
     return present(
-        (score > 0.7, "Consider avoiding this area during peak hours"),
-        (score > 0.7, "Use extra caution due to high risk factors"),
-        ((score > 0.4) & (score <= 0.7), "Moderate risk area - drive defensively"),
+        *[(score > 0.7, words) for words in config.HIGH_RISK_ADVICE],
+        ((score > 0.4) & (score <= 0.7), config.MEDIUM_RISK_ADVICE),
     )
 
 
 def alert_message(driver_id: Column, alerts: Column) -> Column:
-    return F.concat(
-        F.lit("Risk Alert for Driver "), driver_id, F.lit(": "), F.array_join(alerts, ", ")
-    )
+    return filled(config.ALERT_MESSAGE, driver=driver_id, alerts=F.array_join(alerts, ", "))
 
 
 def alert_subject(severity: Column) -> Column:
-    return F.concat(F.lit("Telematics Risk Alert - "), F.upper(severity))
+    return filled(config.ALERT_SUBJECT, severity=F.upper(severity))
 
 
 def alert_severity(score: Column, severe_above: float = 0.3) -> Column:
@@ -60,38 +64,22 @@ def premium_explanation() -> Column:
     an exact decimal half is then rounded up.
     """
     title = F.lit(None).cast("string")
-    for level, words in RISK_LEVEL_TITLES.items():
+    for level, words in config.RISK_LEVEL_TITLES.items():
         title = F.when(F.col("risk_level") == level, words).otherwise(title)
-
-    def line(pattern: str, *columns: Column | str) -> Column:
-        return F.format_string(pattern, *columns)
-
-    def number(name: str) -> Column:
-        return F.round(F.col(name), 9)
-
-    def percent(name: str) -> Column:
-        return F.round(F.col(name) * 100.0, 9)
-
-    return F.concat_ws(
-        "\n",
-        line("Premium Calculation for Driver %s", "driver_id"),
-        F.lit("=" * 50),
-        F.lit(""),
-        line("Base Premium: $%.2f", number("base_premium")),
-        line("Risk Level: %s (Score: %.3f)", title, number("risk_score")),
-        line("Risk Multiplier: %sx", F.col("risk_multiplier").cast("string")),
-        F.lit(""),
-        F.lit("Adjustments:"),
-        line("  Mileage: %.3fx", number("mileage_adjustment")),
-        line("  Temporal: %.3fx", number("temporal_adjustment")),
-        line("  Contextual: %.3fx", number("contextual_adjustment")),
-        F.lit(""),
-        line("Final Premium: $%.2f", number("final_premium")),
-        F.lit(""),
-        F.lit("Driving Behavior Highlights:"),
-        line("  Harsh Braking Events: %s", F.col("harsh_braking_count").cast("string")),
-        line("  Harsh Acceleration Events: %s", F.col("harsh_acceleration_count").cast("string")),
-        line("  Over Speed Ratio: %.1f%%", percent("over_speed_ratio")),
-        line("  Phone Usage Ratio: %.1f%%", percent("phone_usage_ratio")),
-        F.lit(""),
-    )
+    special = {
+        "risk_title": title,
+        "over_speed_percent": F.round(F.col("over_speed_ratio") * 100.0, 9),
+        "phone_usage_percent": F.round(F.col("phone_usage_ratio") * 100.0, 9),
+    }
+
+    def value(place: str, name: str) -> Column:
+        if name in special:
+            return special[name]
+        return F.col(name).cast("string") if place == "%s" else F.round(F.col(name), 9)
+
+    lines = []
+    for pattern, *names in config.PREMIUM_TEXT:
+        places = re.findall(r"%s|%\.\df", pattern)
+        values = [value(place, name) for place, name in zip(places, names)]
+        lines.append(F.format_string(pattern, *values) if values else F.lit(pattern))
+    return F.concat_ws("\n", *lines)

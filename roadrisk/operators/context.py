@@ -263,16 +263,6 @@ def accident_risk(
     )
 
 
-def severity_breakdown(accidents_on_routes: DataFrame, key: str = "route_id") -> DataFrame:
-    """Accident rows of each route counted by known severity, zero where there are none."""
-    return (
-        accidents_on_routes.groupBy(key)
-        .pivot("severity", ["minor", "major", "fatal"])
-        .agg(F.count("*"))
-        .fillna(0)
-    )
-
-
 def accident_rows_on_routes(
     segments: DataFrame, accidents: DataFrame, as_of_time: str, window_days: int = 365
 ) -> DataFrame:

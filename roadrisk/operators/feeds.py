@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from roadrisk.config import BATCH_TOO_LARGE
 from roadrisk.functions import clock, text
 
 UPLOAD_ROW = "array<struct<trip_id:string, speed_mph:double, harsh_braking:int>>"
@@ -115,7 +116,7 @@ def batch_counts(items: DataFrame, cap: int = 1000) -> DataFrame:
         .withColumn("processed_count", F.when(F.col("accepted"), F.col("drivers")).otherwise(0))
         .withColumn(
             "error",
-            F.when(~F.col("accepted"), F.concat(F.lit("Maximum batch size is "), F.lit(cap), F.lit(" drivers"))),
+            F.when(~F.col("accepted"), text.filled(BATCH_TOO_LARGE, cap=F.lit(cap))),
         )
     )
 
@@ -165,10 +166,3 @@ def overview(uploads: DataFrame, priced: DataFrame) -> DataFrame:
             F.when(F.col("_priced") > 0, F.col("_priced")).otherwise(15).alias("active_policies"),
         )
     )
-
-
-def merge_latest(current: DataFrame, update: DataFrame, keys: Sequence[str], time: str, tie: str) -> DataFrame:
-    """Newest row per key of two tables with the same columns."""
-    both = current.unionByName(update)
-    newest = Window.partitionBy(*keys).orderBy(F.col(time).desc(), F.col(tie).desc())
-    return both.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1).drop("_rank")

@@ -8,6 +8,7 @@ from roadrisk.config import (
     AGE_BANDS,
     DEFAULT_VEHICLE_BASE,
     MILEAGE_TIERS,
+    PORTFOLIO_ADVICE,
     PRICING_RULES,
     RISK_MULTIPLIERS,
     VEHICLE_BASE,
@@ -267,14 +268,8 @@ def recommendations(priced: DataFrame) -> DataFrame:
     ).withColumn(
         "recommendations",
         text.present(
-            (
-                F.col("high_share") > 0.3,
-                "Consider additional driver training programs to reduce high-risk population",
-            ),
-            (
-                F.col("low_share") > 0.6,
-                "Opportunity to attract more low-risk drivers with competitive pricing",
-            ),
-            (F.col("variation") > 0.5, "High premium variance suggests good risk differentiation"),
+            (F.col("high_share") > 0.3, PORTFOLIO_ADVICE["many_high"]),
+            (F.col("low_share") > 0.6, PORTFOLIO_ADVICE["many_low"]),
+            (F.col("variation") > 0.5, PORTFOLIO_ADVICE["wide_spread"]),
         ),
     )

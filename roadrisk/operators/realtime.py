@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from roadrisk.config import DEFAULT_SPEED_LIMIT, SPEED_LIMITS, STREAM_RULES, StreamRules
+from roadrisk.config import (
+    DEFAULT_SPEED_LIMIT,
+    EVENT_ALERTS,
+    PATTERN_ALERTS,
+    SPEED_LIMITS,
+    STREAM_RULES,
+    StreamRules,
+)
 from roadrisk.functions import clock, text
 from roadrisk.functions.scores import lookup
 from roadrisk.operators.sequence import rolling, with_position, with_sessions
@@ -55,26 +62,20 @@ def with_texts(scored: DataFrame) -> DataFrame:
     Kept apart from the score, so that histories shuffle flags and numbers only and the texts are
     made at the end.
     """
-    speeding = F.concat(
-        F.lit("Speeding: "),
-        F.col("speed_mph").cast("string"),
-        F.lit(" mph in "),
-        F.col("speed_limit").cast("string"),
-        F.lit(" mph zone"),
-    )
-    names = text.present(
-        (F.col("harsh_braking"), "harsh_braking"),
-        (F.col("harsh_acceleration"), "harsh_acceleration"),
-        (F.col("is_speeding"), "speeding"),
-        (F.col("phone_usage"), "phone_usage"),
-    )
-    alerts_ = text.present(
-        (F.col("harsh_braking"), "Harsh braking detected"),
-        (F.col("harsh_acceleration"), "Harsh acceleration detected"),
-        (F.col("is_speeding"), speeding),
-        (F.col("phone_usage"), "Phone usage while driving"),
+    flags = {
+        "harsh_braking": "harsh_braking",
+        "harsh_acceleration": "harsh_acceleration",
+        "speeding": "is_speeding",
+        "phone_usage": "phone_usage",
+    }
+    names = text.present(*[(F.col(flag), name) for name, flag in flags.items()])
+    words = text.present(
+        *[
+            (F.col(flag), text.filled(EVENT_ALERTS[name], speed=F.col("speed_mph"), limit=F.col("speed_limit")))
+            for name, flag in flags.items()
+        ]
     )
-    return scored.withColumn("risk_events", names).withColumn("immediate_alerts", alerts_)
+    return scored.withColumn("risk_events", names).withColumn("immediate_alerts", words)
 
 
 def score_events(events: DataFrame, rules: StreamRules = STREAM_RULES) -> DataFrame:
@@ -103,15 +104,13 @@ def add_pattern_score(scored: DataFrame, rules: StreamRules = STREAM_RULES) -> D
 
 def with_all_texts(scored: DataFrame, rules: StreamRules = STREAM_RULES) -> DataFrame:
     """Texts of the event itself, then those of the patterns."""
-    harsh, speeding = _patterns(rules)
-    names = text.present((harsh, "pattern_harsh_driving"), (speeding, "pattern_speeding"))
-    alerts_ = text.present(
-        (harsh, "Pattern of harsh driving detected"), (speeding, "Repeated speeding violations detected")
-    )
+    hits = list(zip(_patterns(rules), PATTERN_ALERTS.items()))
+    names = text.present(*[(hit, name) for hit, (name, _) in hits])
+    words = text.present(*[(hit, alert) for hit, (_, alert) in hits])
     return (
         with_texts(scored)
         .withColumn("risk_events", F.concat("risk_events", names))
-        .withColumn("immediate_alerts", F.concat("immediate_alerts", alerts_))
+        .withColumn("immediate_alerts", F.concat("immediate_alerts", words))
     )
 
 

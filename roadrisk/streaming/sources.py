@@ -14,11 +14,18 @@ def file_stream(
     schema: StructType = schemas.EVENTS,
     pattern: str = "*.parquet",
     files_per_trigger: int | None = None,
+    bytes_per_trigger: int = 1 << 30,
 ) -> DataFrame:
-    """Parquet files as they arrive, oldest first; the trigger size bounds every micro-batch."""
+    """Parquet files as they arrive, oldest first.
+
+    Every micro-batch is bounded, by bytes or by a number of files, and with it the rows of one driver
+    that a stateful job sorts in one task.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.parquet(folder)
 
 

@@ -142,3 +142,23 @@ def test_rows_without_time_come_last(spark):
     )
     rows = sequence.with_previous(df, ["key"], "time", ["id"], ["id"]).collect()
     assert {r["id"]: r["prev_id"] for r in rows} == {1: 2, 2: None}
+
+
+def test_one_busy_key_is_spread_over_tasks(spark):
+    """All rows of one key: every step over them runs in several tasks."""
+    rows = spark.range(20_000).selectExpr(
+        "id", "'a' AS key", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 30) AS time",
+        "CAST(id AS DOUBLE) AS value", "true AS flag",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = sequence.with_position(rows, ["key"], "time", ["id"])
+        frames = sequence.rolling(
+            placed, ["key"], "position", 11, {"total": lambda w: F.sum("value").over(w)}, 1000
+        )
+        for df in (placed, frames, sequence.with_previous(rows, ["key"], "time", ["id"], ["value"])):
+            sizes = df.groupBy(F.spark_partition_id().alias("task")).count().collect()
+            assert len(sizes) > 2 and max(r["count"] for r in sizes) < 12_000
+        assert frames.agg(F.sum("position")).first()[0] == 20_000 * 20_001 // 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
