@@ -177,8 +177,15 @@ class Phrases:
         index = FMIndex(text, begins)
         for length, group, owners in self.groups:
             low, high = index.search(group)
-            for k in np.flatnonzero(high > low):
-                yield source[index.locate(np.arange(low[k], high[k]))], length, owners[k]
+            found = np.flatnonzero(high > low)
+            if not len(found):
+                continue
+            sizes = (high - low)[found]
+            ends = np.cumsum(sizes)
+            rows = np.arange(ends[-1]) + np.repeat(low[found] - ends + sizes, sizes)
+            places = source[index.locate(rows)]
+            for k, begin, end in zip(found, ends - sizes, ends, strict=True):
+                yield places[begin:end], length, owners[k]
 
 
 def _searched(phrases: Phrases, batches, first: bool):
