@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roadrisk.llm.shared import (
-    WordIds, buckets_for, components, grams, mixed, packed, summed_counts, text_blocks, text_bytes, unpacked, written,
+    WordIds, added_slices, buckets_for, components, grams, mixed, packed, summed_counts, text_blocks, text_bytes, unpacked, written,
 )
 
 WORDS = 4  # of a shingle
@@ -34,6 +34,9 @@ CELLS = 1 << 21  # of the table of shingle counts
 BUCKET_POSTINGS = 500_000
 BLOCK = 64  # entries of a list skipped at once
 BITMAP = 64  # bytes
+COUNT_SLICES = 32
+PROFILE = ["doc_id", "n_shingles", "set", "slice", "cells"]
+MOST_MARKS = 1 << 23  # bits that tell which documents to read again
 
 POSTING = np.dtype([("token", "<u8"), ("set", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
@@ -82,66 +85,78 @@ def _distinct_sets(batch_texts, ids: WordIds, words: int):
     return digests, sizes, distinct
 
 
-def shingle_counts(docs: DataFrame, words: int = WORDS, cells: int = CELLS) -> np.ndarray:
+def _profile(docs: DataFrame, words: int, cells: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n_shingles, set) of every document, and how often each cell's shingles occur in distinct sets of a block."""
     shift = np.uint64(64 - (cells.bit_length() - 1))
+    width = cells // COUNT_SLICES
 
-    def add(batches, total):
-        ids = WordIds()
-        for _, texts in text_blocks(batches):
-            distinct = _distinct_sets(texts, ids, words)[2]
+    def measure(batches):
+        ids, total = WordIds(), np.zeros(cells, np.uint32)
+        kind = None
+        for batch, texts in text_blocks(batches):
+            kind = batch.column(0).type
+            digests, sizes, distinct = _distinct_sets(texts, ids, words)
             if distinct:
-                total[:cells] += np.bincount((np.concatenate(list(distinct.values())) >> shift).astype(np.int64), minlength=cells)
+                total += np.bincount((np.concatenate(list(distinct.values())) >> shift).astype(np.int64), minlength=cells).astype(np.uint32)
+            nothing = pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), *nothing], PROFILE)
+        if total.any():
+            nothing = pa.nulls(COUNT_SLICES, kind), pa.nulls(COUNT_SLICES, pa.int64()), pa.nulls(COUNT_SLICES, pa.int64())
+            parts = [total[k * width : (k + 1) * width].tobytes() for k in range(COUNT_SLICES)]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(COUNT_SLICES), pa.int32()), pa.array(parts, pa.binary())], PROFILE)
 
-    return summed_counts(docs.select(F.col("text").cast("string").alias("text")), add, cells)
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set long, slice int, cells binary"
+    rows = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(measure, kind))
+    counts = added_slices(rows.filter("slice is not null").select("slice", "cells"), width, COUNT_SLICES)
+    return rows.filter("slice is null").select("doc_id", "n_shingles", "set"), counts
 
 
 def _prefixes(docs: DataFrame, counts, buckets: int, words: int, percent: int, cells: int) -> DataFrame:
-    """Rows of documents (doc_id, n_shingles, set) and rows of the index (bucket, payload)."""
+    """Rows of the index (bucket, payload): the rarest shingles of each set."""
     shift = np.uint64(64 - (cells.bit_length() - 1))
 
     def send(batches):
         ids = WordIds()
-        for batch, texts in text_blocks(batches):
-            digests, sizes, distinct = _distinct_sets(texts, ids, words)
-            rows = len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())],
-                ["doc_id", "n_shingles", "set", "bucket", "payload"],
-            )
+        for _, texts in text_blocks(batches):
             parts = []
-            for key, own in distinct.items():
+            for key, own in _distinct_sets(texts, ids, words)[2].items():
                 take = prefix_length(len(own), percent)
                 common = counts.value[(own >> shift).astype(np.int64)]
                 chosen = own[np.lexsort((own, common))[:take]]
                 part = np.empty(take, POSTING)
                 part["token"], part["set"], part["n"], part["at"] = chosen, key, len(own), np.arange(take)
                 parts.append(part)
-            if not parts:
-                continue
-            records = np.concatenate(parts)
-            for sent in packed(records, (records["token"] % np.uint64(buckets)).astype(np.int64)):
-                size = sent.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(size, batch.column(0).type), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), *sent.columns],
-                    ["doc_id", "n_shingles", "set", "bucket", "payload"],
-                )
-
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set long, bucket long, payload binary"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(send, kind)
-
-
-def _lists(group: pa.Table) -> pa.Table:
-    """The posting lists of a bucket with two sets or more, ordered by token, size, position."""
-    records = np.unique(unpacked(group, POSTING))
-    order = np.lexsort((records["set"], records["at"], records["n"], records["token"]))
-    records = records[order]
-    token = records["token"]
-    same = np.r_[False, token[1:] == token[:-1]]
-    records = records[same | np.r_[same[1:], False]] if len(records) else records
-    return pa.table({
-        "token": pa.array(records["token"].astype(np.int64)), "set": pa.array(records["set"]),
-        "n": pa.array(records["n"]), "at": pa.array(records["at"]),
-    })
+            if parts:
+                records = np.concatenate(parts)
+                yield from packed(records, (records["token"] % np.uint64(buckets)).astype(np.int64))
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "bucket long, payload binary")
+
+
+def _lists(percent: int):
+    """The posting lists of a bucket, ordered by token, size and position, without entries that no other one fits."""
+
+    def lists(group: pa.Table) -> pa.Table:
+        records = np.unique(unpacked(group, POSTING))
+        records = records[np.lexsort((records["set"], records["at"], records["n"], records["token"]))]
+        token, n, at = records["token"], records["n"].astype(np.int64), records["at"].astype(np.int64)
+        keep = np.zeros(len(records), bool)
+        for step in range(1, BLOCK):  # most lists are short: compare with the next ones, one distance at a time
+            near = np.flatnonzero(token[step:] == token[:-step])
+            if not len(near):
+                break
+            near = near[_fits(n[near], at[near], n[near + step], at[near + step], percent)]
+            keep[near] = keep[near + step] = True
+        else:
+            long = np.flatnonzero(token[BLOCK:] == token[:-BLOCK])  # kept whole
+            keep |= np.isin(token, token[long])
+        records = records[keep]
+        return pa.table({
+            "token": pa.array(records["token"].astype(np.int64)), "set": pa.array(records["set"]),
+            "n": pa.array(records["n"]), "at": pa.array(records["at"]),
+        })
+
+    return lists
 
 
 def _fits(n, at, n2, at2, percent: int):
@@ -160,7 +175,7 @@ def _leaders(percent: int):
     def pairs(group: pa.Table) -> pa.Table:
         a, b = [], []
         token, key, n, at = (group.column(c).to_numpy() for c in ("token", "set", "n", "at"))
-        order = np.lexsort((key, at, n, token))
+        order = np.lexsort((key, n, token))  # the same order in all lists, so that sets meet the same leader again
         token, key, n, at = token[order], key[order], n[order].astype(np.int64), at[order].astype(np.int64)
         for begin, end in _runs(token):
             lead = begin
@@ -227,37 +242,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
-def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document."""
+def _whole_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(set, elements, bits) of the wanted sets, from one text of each.
+
+    The ids to read again are marked in a table of bits, bounded in size, so that texts are not shuffled; what it lets through
+    in excess falls out of the join."""
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(shingle_counts(docs, words, cells).astype(np.uint32))
-    # about 7 bytes of text for a word, so many words for a posting
-    buckets = buckets_for(text_bytes(docs) // 7 * (100 - percent) // 100, BUCKET_POSTINGS)
-    sent = written(_prefixes(docs, counts, buckets, words, percent, cells))
-    members = sent.filter("bucket is null").select("doc_id", "n_shingles", "set")
-    lists = sent.filter("bucket is not null").select("bucket", "payload").groupBy("bucket")
-    lists = written(lists.applyInArrow(_lists, "token long, set long, n int, at int"))
+    holders = written(members.groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set", "left_semi").select("set", F.xxhash64("doc_id").alias("id")))
+    bits = min(MOST_MARKS, max(1 << 12, 1 << (16 * holders.count()).bit_length()))
+
+    def mark(batches, total):
+        for batch in batches:
+            total[batch.column(0).to_numpy() & (bits - 1)] = 1
 
-    # whole sets of those that share a posting, from one text of each
-    shared = lists.select("set").distinct()
-    holders = members.groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(shared, "set", "left_semi").select("set", "doc_id")
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    marks = spark.sparkContext.broadcast(np.packbits(summed_counts(holders.select("id"), mark, bits) > 0))
 
     def elements(batches):
         ids = WordIds()
-        for batch, texts in text_blocks(batches):
-            own = [shingles(t, ids, words) for t in texts]
-            keep = [k for k, s in enumerate(own) if digest(s) == batch.column(1)[k].as_py()]
-            yield pa.RecordBatch.from_pydict({
-                "set": batch.column(1).take(pa.array(keep, pa.int64())),
-                "elements": pa.array([own[k].tobytes() for k in keep], pa.binary()),
-                "bits": pa.array([bitmap(own[k]) for k in keep], pa.binary()),
-            })
-
-    held = docs.select(F.coalesce("doc_id", F.lit(None).cast(id_kind)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    same_id = held["doc_id"].eqNullSafe(holders["doc_id"])
-    sets = held.join(holders, same_id).select(held["doc_id"], holders["set"], held["text"]).mapInArrow(elements, "set long, elements binary, bits binary")
-    sets = written(sets.dropDuplicates(["set"]))
+        for batch in batches:
+            place = batch.column(0).to_numpy() & (bits - 1)
+            marked = batch.filter(pa.array((marks.value[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)))
+            for part, texts in text_blocks([marked]):
+                own = [shingles(t, ids, words) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([digest(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([bitmap(s) for s in own], pa.binary())],
+                    ["id", "set", "elements", "bits"],
+                )
+
+    read = docs.select(F.xxhash64("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    read = read.mapInArrow(elements, "id long, set long, elements binary, bits binary")
+    return written(read.join(holders, ["id", "set"], "left_semi").select("set", "elements", "bits"))
+
+
+def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document."""
+    spark = docs.sparkSession
+    members, counts = _profile(docs, words, cells)
+    counts = spark.sparkContext.broadcast(counts.astype(np.uint32))
+    # about 7 bytes of text for a word, so many words for a posting
+    buckets = buckets_for(text_bytes(docs) // 7 * (100 - percent) // 100, BUCKET_POSTINGS)
+    lists = _prefixes(docs, counts, buckets, words, percent, cells).groupBy("bucket")
+    lists = written(lists.applyInArrow(_lists(percent), "token long, set long, n int, at int"))
+    sets = _whole_sets(docs, members, lists.select("set").distinct(), words)
 
     split = F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket")
     first = lists.select("*", split).groupBy("bucket").applyInArrow(_leaders(percent), "a long, b long").distinct()

@@ -144,18 +144,24 @@ def summed_counts(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch], np.nda
                 "cells": pa.array([cells[k * width : (k + 1) * width].astype(np.uint32).tobytes() for k in range(slices)], pa.binary()),
             })
 
+    return added_slices(df.mapInArrow(counts, "slice int, cells binary"), width, slices)[:size]
+
+
+def added_slices(parts: DataFrame, width: int, slices: int) -> np.ndarray:
+    """The sum of counters that tasks sent as rows (slice, cells)."""
+
     def added(group: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for cell in group.column("cells"):
             total += np.frombuffer(cell.as_buffer(), total_type(cell, width))
         return pa.table({"slice": group.column("slice").slice(0, 1).cast(pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
-    parts = df.mapInArrow(counts, "slice int, cells binary").withColumn("part", F.spark_partition_id() % 64)
+    parts = parts.withColumn("part", F.spark_partition_id() % 64)
     parts = parts.groupBy("slice", "part").applyInArrow(added, "slice int, cells binary")
     total = np.zeros(width * slices, np.int64)
     for row in parts.groupBy("slice").applyInArrow(added, "slice int, cells binary").collect():  # ``slices`` rows
         total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["cells"], np.int64)
-    return total[:size]
+    return total
 
 
 def total_type(cell, width: int):
