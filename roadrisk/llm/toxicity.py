@@ -31,9 +31,9 @@ SPREAD = 7  # characters that a subsequence may span
 SYMBOLS = 28  # 0: others, 1-26: letters without accents, 27: space
 REACH = 12  # characters after a word's start whose subsequences count for it
 TOP = 6  # highest words of a text
-LANDMARKS = 320
-TRAINED_WORDS = 12_000
-TOXIC_ROWS, CLEAN_ROWS = 2_000, 3_000
+LANDMARKS = 256
+TRAINED_WORDS = 8_000
+TOXIC_ROWS, CLEAN_ROWS = 1_000, 2_000
 FOLDS = 5  # the first is held out
 
 PATTERNS = [(a, b, c) for a in range(1, SPREAD) for b in range(a + 1, SPREAD) for c in range(b + 1, SPREAD)]
@@ -111,32 +111,35 @@ def kernel(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarr
     return out, known, grid
 
 
-def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, loss: str) -> np.ndarray:
-    """Weights (last one: constant) under squared hinge or logistic loss; y is -1 or 1."""
+def newton(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, penalty: float, loss: str) -> np.ndarray:
+    """Weights (last one: constant) under squared hinge or logistic loss; each row counts so much for either side."""
     x = np.c_[x, np.ones(len(x))].astype(np.float64)
     ridge = np.r_[np.full(x.shape[1] - 1, penalty), 1e-6]
 
     def value(w):
-        margin = y * (x @ w)
-        cost = np.maximum(0, 1 - margin) ** 2 if loss == "hinge" else np.logaddexp(0, -margin)
-        return weight @ cost + (ridge * w) @ w / 2
+        level = x @ w
+        cost = (lambda m: np.maximum(0, 1 - m) ** 2) if loss == "hinge" else (lambda m: np.logaddexp(0, -m))
+        return positive @ cost(level) + negative @ cost(-level) + (ridge * w) @ w / 2
 
     w = np.zeros(x.shape[1])
     for _ in range(30):
-        margin = y * (x @ w)
-        if loss == "hinge":
-            slope, bend = np.where(margin < 1, -2 * (1 - margin), 0), np.where(margin < 1, 2.0, 0)
-        else:
-            p = 1 / (1 + np.exp(np.clip(margin, -50, 50)))
-            slope, bend = -p, p * (1 - p)
-        gradient = x.T @ (weight * slope * y) + ridge * w
-        curve = (x * (weight * bend)[:, None]).T @ x + np.diag(ridge)
+        level, slope, bend = x @ w, 0, 0
+        for side, weight in ((1, positive), (-1, negative)):
+            margin = side * level
+            if loss == "hinge":
+                short = np.maximum(0, 1 - margin)
+                slope, bend = slope - 2 * side * weight * short, bend + 2 * weight * (short > 0)
+            else:
+                p = 1 / (1 + np.exp(np.clip(margin, -50, 50)))
+                slope, bend = slope - side * weight * p, bend + weight * p * (1 - p)
+        gradient = x.T @ slope + ridge * w
+        curve = (x * bend[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(curve, gradient)
-        size = 1.0
-        while value(w - size * step) > value(w) and size > 1e-4:
+        size, now = 1.0, value(w)
+        while value(w - size * step) > now and size > 1e-4:
             size /= 2
         w = w - size * step
-        if np.abs(size * step).max() < 1e-6:
+        if np.abs(size * step).max() < 1e-5:
             break
     return w
 
@@ -214,18 +217,15 @@ def trained(rows: list[tuple[str | None, int, bool]], landmarks: int = LANDMARKS
     # a word counts as toxic as often as it is in toxic rows, as clean as often as it is in clean ones
     described_by = values[: len(words)] @ root
     first, second = np.array([toxic[w] for w in words]) / sizes[1], 2 * np.array([clean[w] for w in words]) / sizes[0]
-    x = np.r_[described_by, described_by]
-    y = np.r_[np.ones(len(words)), -np.ones(len(words))]
-    weight = np.r_[first, second]
-    kept = weight > 0
-    fitted = newton(x[kept], y[kept], weight[kept] * 100, 0.1, "hinge")
+    fitted = newton(described_by, first * 100, second * 100, 0.1, "hinge")
     folded = np.zeros(SYMBOLS**4, np.float32)
     folded[known] = grid @ (root @ fitted[:-1])
     weights = np.stack([folded * np.float32(DECAY ** (c - 3)) if c >= 3 else folded * 0 for c in range(SPREAD)])
     model = Model(weights, float(fitted[-1]), None, share)
     rest = [(t, x) for t, x, for_curve in rows if for_curve]
-    y = np.array([1.0 if x else -1.0 for _, x in rest])
-    model.curve = newton(model.features([(t or "").encode() for t, _ in rest]), y, np.ones(len(y)), 0.01, "logistic")
+    y = np.array([float(x) for _, x in rest])
+    parts = [model.features([(t or "").encode() for t, _ in rest[k : k + 100]]) for k in range(0, len(rest), 100)]
+    model.curve = newton(np.concatenate(parts), y, 1 - y, 0.01, "logistic")
     return model
 
 
