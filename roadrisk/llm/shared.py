@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,8 +18,10 @@ KEPT_WORDS = 200_000  # word ids a task remembers
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a new local one only where
-    that is unset (tests)."""
+    that is unset in local mode (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     if folder is None:
         folder = tempfile.mkdtemp(prefix="llm-")
         spark.sparkContext.setCheckpointDir(folder)
