@@ -64,15 +64,24 @@ def _inside(lat: str, lon: str) -> Column:
     )
 
 
+def _near(lookups: DataFrame, found: DataFrame, radius_miles: float) -> DataFrame:
+    """Rows with a point (incident_lat, incident_lon) in the box around each place."""
+    cell = radius_miles / MILES_PER_DEGREE
+    return (
+        _on_cells(boxes(lookups, radius_miles), cell)
+        .join(_in_cell(found, "incident_lat", "incident_lon", cell), ["_cell_lat", "_cell_lon"])
+        .filter(_inside("incident_lat", "incident_lon"))
+    )
+
+
 def crime_in_box(
-    lookups: DataFrame, incidents: DataFrame, radius_miles: float = 5.0, newest: int | None = 1000
+    lookups: DataFrame, incidents: DataFrame, radius_miles: float = 5.0, newest: int | None = None
 ) -> DataFrame:
     """Incidents in the box around each place, the newest ones where a limit is given.
 
     Incidents at exactly the same point are in or out of a box together, so keeping the newest per
     point first is exact, and a point that holds very many incidents never reaches the join whole.
     """
-    cell = radius_miles / MILES_PER_DEGREE
     found = incidents.withColumnRenamed("latitude", "incident_lat").withColumnRenamed(
         "longitude", "incident_lon"
     )
@@ -80,11 +89,8 @@ def crime_in_box(
     if newest is not None:
         per_point = Window.partitionBy("incident_lat", "incident_lon").orderBy(*newest_first)
         found = found.withColumn("_rank", F.row_number().over(per_point)).filter(F.col("_rank") <= newest)
-    pairs = (
-        _on_cells(boxes(lookups, radius_miles), cell)
-        .join(_in_cell(found, "incident_lat", "incident_lon", cell), ["_cell_lat", "_cell_lon"])
-        .filter(_inside("incident_lat", "incident_lon"))
-        .select(*PLACE, "incident_id", "incident_type", "severity", "incident_lat", "incident_lon", "date")
+    pairs = _near(lookups, found, radius_miles).select(
+        *PLACE, "incident_id", "incident_type", "severity", "incident_lat", "incident_lon", "date"
     )
     if newest is None:
         return pairs
@@ -101,26 +107,26 @@ def crime_risk(
     incidents: DataFrame,
     as_of_time: str,
     radius_miles: float = 5.0,
-    newest: int | None = 1000,
 ) -> DataFrame:
-    """Crime scores of each place; a place without incidents gets 0.1 throughout."""
+    """Crime scores of each place; a place without incidents gets 0.1 throughout.
+
+    Incidents are counted per exact point first, which is in or out of a box as one.
+    """
 
     def counted(flag: Column) -> Column:
         return F.count(F.when(flag, 1))
 
     kind = F.col("incident_type")
     age = clock.elapsed_whole_days(clock.ntz(as_of_time), F.col("date"))
-    counts = (
-        crime_in_box(lookups, incidents, radius_miles, newest)
-        .groupBy(*PLACE)
-        .agg(
-            counted(kind.isin("assault", "robbery")).alias("violent"),
-            counted(kind.isin("theft", "burglary", "vandalism")).alias("property"),
-            counted(F.lower(kind).contains("vehicle")).alias("vehicle"),
-            counted(age <= RECENT_DAYS).alias("recent"),
-            F.count("*").alias("incidents"),
-        )
+    names = ("violent", "property", "vehicle", "recent", "incidents")
+    per_point = incidents.groupBy(F.col("latitude").alias("incident_lat"), F.col("longitude").alias("incident_lon")).agg(
+        counted(kind.isin("assault", "robbery")).alias("violent"),
+        counted(kind.isin("theft", "burglary", "vandalism")).alias("property"),
+        counted(F.lower(kind).contains("vehicle")).alias("vehicle"),
+        counted(age <= RECENT_DAYS).alias("recent"),
+        F.count("*").alias("incidents"),
     )
+    counts = _near(lookups, per_point, radius_miles).groupBy(*PLACE).agg(*[F.sum(n).alias(n) for n in names])
 
     def score(name: str, full: float) -> Column:
         return F.when(F.col("incidents") > 0, scores.capped(F.col(name) / full)).otherwise(0.1)

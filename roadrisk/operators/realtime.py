@@ -261,7 +261,8 @@ def read_envelopes(envelopes_: DataFrame, schema: str) -> DataFrame:
 
 def full_buckets(points: DataFrame, size: int = 1000) -> DataFrame:
     """Points of every full run of ``size`` points of a driver, with the bucket number."""
-    numbered = with_position(points, ("driver_id",), "timestamp", ("event_id", "seq"))
+    ties = tuple(c for c in ("event_id", "seq") if c in points.columns)
+    numbered = with_position(points, ("driver_id",), "timestamp", ties)
     return (
         numbered.withColumn("bucket", F.floor((F.col("position") - 1) / size))
         .filter((F.col("bucket") + 1) * size <= F.col("key_rows"))

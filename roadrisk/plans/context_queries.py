@@ -10,17 +10,16 @@ from roadrisk.plans.registry import query, shared
 from roadrisk.plans.relations import AS_OF_EXTERNAL, Inputs
 from roadrisk.plans.trip_queries import miles
 
-NEWEST = 500  # below the usual 1000, so that the limit takes effect on small data too
+NEWEST = 500  # of a place, in the top list only; small enough to take effect on small data
 WEATHER_AGE = 6 * 3600
 
 shared("t_places", "SELECT DISTINCT latitude, longitude FROM context_requests")
 shared(
     "t_crime",
-    f"""SELECT * FROM (SELECT l.latitude, l.longitude, c.incident_id, c.incident_type, c.date,
+    """SELECT l.latitude, l.longitude, c.incident_id, c.incident_type, c.date,
   row_number() OVER (PARTITION BY l.latitude, l.longitude ORDER BY c.date DESC, c.incident_id DESC) AS rn
 FROM t_places l JOIN crime_incidents c ON c.latitude BETWEEN l.latitude - 5 / 69.0E0 AND l.latitude + 5 / 69.0E0
-  AND c.longitude BETWEEN l.longitude - 5 / (69.0E0 * cos(radians(l.latitude))) AND l.longitude + 5 / (69.0E0 * cos(radians(l.latitude)))) r
-WHERE rn <= {NEWEST}""",
+  AND c.longitude BETWEEN l.longitude - 5 / (69.0E0 * cos(radians(l.latitude))) AND l.longitude + 5 / (69.0E0 * cos(radians(l.latitude)))""",
 )
 shared(
     "t_crime_counts",
@@ -109,7 +108,7 @@ def weather(i: Inputs) -> DataFrame:
 
 def crime(i: Inputs) -> DataFrame:
     places = context.distinct_lookups(i.context_requests)
-    return context.crime_risk(places, i.crime_incidents, AS_OF_EXTERNAL, newest=NEWEST)
+    return context.crime_risk(places, i.crime_incidents, AS_OF_EXTERNAL)
 
 
 @query(
@@ -156,14 +155,14 @@ def _(i):
 )
 def _(i):
     places = context.distinct_lookups(i.context_requests)
-    return context.crime_in_box(places, i.crime_incidents, newest=NEWEST)
+    return context.crime_in_box(places, i.crime_incidents)
 
 
 @query(
     "srt_top_incidents",
     keep="newest oldest incidents",
     nums="latitude longitude",
-    sql="""SELECT latitude, longitude, max(date) AS newest, min(date) AS oldest, count(*) AS incidents FROM t_crime GROUP BY latitude, longitude""",
+    sql=f"""SELECT latitude, longitude, max(date) AS newest, min(date) AS oldest, count(*) AS incidents FROM t_crime WHERE rn <= {NEWEST} GROUP BY latitude, longitude""",
 )
 def _(i):
     places = context.distinct_lookups(i.context_requests)

@@ -23,7 +23,8 @@ INGESTED = "2024-02-01 10:30:00"
 
 def streamed(i: Inputs, name: str) -> DataFrame:
     """A relation over the event table, as a stream."""
-    events = file_stream(i.spark, i.folder, i.table("events").schema, "events.parquet")
+    # as a glob the table may be one file or a folder of files
+    events = file_stream(i.spark, f"{i.folder}/{{events.parquet}}", i.table("events").schema, pattern=None)
     events.createOrReplaceTempView("events_arriving")
     return i.spark.sql(re.sub(r"\bFROM events\b", "FROM events_arriving", spark_text(name)))
 
@@ -36,7 +37,8 @@ def finished(i: Inputs, start, name: str) -> str:
 
 
 def stored(i: Inputs, stream: DataFrame, name: str) -> DataFrame:
-    return i.spark.read.parquet(finished(i, lambda out, state: jobs.to_files(stream, out, state), name))
+    folder = finished(i, lambda out, state: jobs.to_files(stream, out, state), name)
+    return i.spark.read.schema(stream.schema).parquet(folder)  # also where no row came
 
 
 @query(
@@ -97,7 +99,7 @@ def _(i):
 def _(i):
     folder = finished(i, lambda out, state: jobs.publish_alerts(histories(i), out, state), "alert-topic")
     record = "event_id bigint, driver_id string, severity string, risk_score double"
-    messages = i.spark.read.parquet(folder)
+    messages = i.spark.read.schema("key string, value string").parquet(folder)
     return messages.select("key", F.from_json("value", record).alias("r")).select("key", "r.*")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,10 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a new local one only where none is set (tests)."""
+    """The folder the cluster names for checkpoints; a new local one only in local mode (tests)."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"Set {CHECKPOINT_SETTING} to a folder that the driver and all executors share.")
     if folder is None:
         folder = tempfile.mkdtemp(prefix="roadrisk-")
         spark.sparkContext.setCheckpointDir(folder)

@@ -39,19 +39,18 @@ def with_history(
     pattern_idle: int = HOUR,
     rolling_idle: int = DAY,
     rules: StreamRules = STREAM_RULES,
-    delay: str = "10 minutes",
+    delay: str | None = None,
 ) -> DataFrame:
     """Scored events with their pattern terms and the rolling mean score of the driver.
 
     Events of a micro-batch are taken in time order. One that is older than the last event already
-    seen counts as coming right after it; one that is later than the delay is dropped. State: flags
-    of the last ten events and the last 99 scores, freed when the longer idle time has passed.
+    seen counts as coming right after it. State: flags of the last ten events and the last 99 scores.
+    Without a delay no event is dropped and every driver's state is kept; with one, state is freed when the
+    longer idle time has passed, and events later than the delay are dropped by the watermark.
     """
-    scored = (
-        with_event_time(with_score(events, rules))
-        .withWatermark("timestamp", delay)
-        .withColumn("_us", F.unix_micros("timestamp"))
-    )
+    scored = with_event_time(with_score(events, rules)).withColumn("_us", F.unix_micros("timestamp"))
+    if delay is not None:
+        scored = scored.withWatermark("timestamp", delay)
     expiry = max(pattern_idle, rolling_idle)
     schema = StructType(list(scored.schema.fields))
     for name in ("recent_events", "recent_harsh", "recent_speeding"):
@@ -104,11 +103,13 @@ def with_history(
                 [float(v) for v in kept_scores],
             )
         )
-        state.setTimeoutTimestamp(int(times[-1]) // 1000 + expiry * 1000 + 1)
+        if delay is not None:
+            free_at = int(times[-1]) // 1000 + expiry * 1000 + 1
+            state.setTimeoutTimestamp(max(free_at, state.getCurrentWatermarkMs() + 1))
         yield new.assign(recent_events=counts, recent_harsh=harsh, recent_speeding=fast, avg_risk=means)
 
     kept = scored.groupBy("driver_id").applyInPandasWithState(
-        step, schema, HISTORY_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        step, schema, HISTORY_STATE, "append", GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
     )
     zone_free = kept.drop("_us").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
     return with_all_texts(add_pattern_score(zone_free, rules), rules)

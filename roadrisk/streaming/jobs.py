@@ -120,13 +120,15 @@ def count_bucket_features(
 
 
 def count_requests(
-    log: DataFrame, folder: str, checkpoint: str, window: str = "1 hour", limit: int = 1000, delay: str = "10 minutes"
+    log: DataFrame, folder: str, checkpoint: str, window: str = "1 hour", limit: int = 1000, delay: str | None = None
 ) -> StreamingQuery:
-    """Requests per client and fixed window, updated until the window closes."""
+    """Requests per client and fixed window. Without a delay every request counts, however late; with one, windows
+    are closed after it and later requests are dropped."""
+    log = log.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    if delay is not None:
+        log = log.withWatermark("timestamp", delay)
     counted = (
-        log.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-        .withWatermark("timestamp", delay)
-        .groupBy(F.window("timestamp", window).alias("w"), "client_id")
+        log.groupBy(F.window("timestamp", window).alias("w"), "client_id")
         .agg(F.count("*").alias("requests"))
         .select(
             F.col("w.start").cast("timestamp_ntz").alias("window_start"),

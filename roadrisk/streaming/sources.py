@@ -12,16 +12,18 @@ def file_stream(
     spark: SparkSession,
     folder: str,
     schema: StructType = schemas.EVENTS,
-    pattern: str = "*.parquet",
+    pattern: str | None = "*.parquet",
     files_per_trigger: int | None = None,
     bytes_per_trigger: int = 1 << 30,
 ) -> DataFrame:
-    """Parquet files as they arrive, oldest first.
+    """Parquet files of a folder as they arrive, oldest first. The path may be a glob.
 
     Every micro-batch is bounded, by bytes or by a number of files, and with it the rows of one driver
     that a stateful job sorts in one task.
     """
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    reader = spark.readStream.schema(schema)
+    if pattern is not None:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     else:
@@ -48,10 +50,12 @@ def with_event_time(events: DataFrame, column: str = "timestamp") -> DataFrame:
     return events.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def without_repeats(events: DataFrame, key: str = "event_id", delay: str = "10 minutes") -> DataFrame:
-    """Drop events delivered again within the delay, and the state of older ones."""
-    return (
-        with_event_time(events)
-        .withWatermark("timestamp", delay)
-        .dropDuplicatesWithinWatermark([key])
-    )
+def without_repeats(events: DataFrame, key: str = "event_id", delay: str | None = None) -> DataFrame:
+    """Drop events delivered again.
+
+    Without a delay every key is remembered and no distinct event is lost. With one, keys are forgotten after it,
+    and events that come later than the delay are dropped by the watermark.
+    """
+    if delay is None:
+        return with_event_time(events).dropDuplicates([key])
+    return with_event_time(events).withWatermark("timestamp", delay).dropDuplicatesWithinWatermark([key])

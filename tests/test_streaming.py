@@ -69,8 +69,9 @@ def test_history_over_files_and_a_restart_equals_the_batch(spark):
     assert_same(run_history(spark, source, out, state), want)
 
 
-def test_late_events(spark):
-    """Slightly late events count as arriving now; those beyond the delay are dropped."""
+@pytest.mark.parametrize("delay", [None, "10 minutes"])
+def test_late_events(spark, delay):
+    """Late events count as arriving now. Only a delay drops those beyond it, from the third micro-batch on."""
     df = events(spark, 60)
     late = df.filter("event_id = 30").withColumns(
         {"event_id": F.lit(1000).cast("long"), "timestamp": F.col("timestamp") - F.expr("INTERVAL 5 MINUTES")}
@@ -79,11 +80,54 @@ def test_late_events(spark):
         {"event_id": F.lit(1001).cast("long"), "timestamp": F.col("timestamp") - F.expr("INTERVAL 2 DAYS")}
     )
     source, out = folder(), f"{folder()}/out"
-    write_files(df.filter("event_id <= 30").union(late.limit(0)), source, [0, 20, 31])
+    write_files(df.filter("event_id <= 30"), source, [0, 20, 31])
     write_files(late.union(lost), source, [1000, 1002])
     write_files(df.filter("event_id > 30"), source, [31, 60])
-    got = run_history(spark, source, out, folder())
-    assert 1000 in got and 1001 not in got and len(got) == 61
+    stream = history.with_history(sources.file_stream(spark, source, files_per_trigger=1), 3600, 86400, delay=delay)
+    jobs.to_files(stream, out, folder()).awaitTermination()
+    got = {r["event_id"] for r in spark.read.parquet(out).collect()}
+    assert got == {*range(60), 1000} | (set() if delay else {1001})
+
+
+def test_very_late_event_in_the_second_batch(spark):
+    """State that would have expired before the watermark does not end the query."""
+    df = events(spark, 40)
+    late = df.filter("event_id = 0").withColumn("event_id", F.lit(1000).cast("long")).withColumn("timestamp", F.col("timestamp") - F.expr("INTERVAL 9 DAYS"))
+    late = late.withColumn("driver_id", F.lit("z"))
+    for delay in (None, "30 days"):
+        source, out = folder(), f"{folder()}/out"
+        write_files(df, source, [0, 40])
+        write_files(late, source, [1000, 1001])
+        stream = history.with_history(sources.file_stream(spark, source, files_per_trigger=1), 60, 60, delay=delay)
+        jobs.to_files(stream, out, folder()).awaitTermination()
+        assert {r["event_id"] for r in spark.read.parquet(out).collect()} == {*range(40), 1000}
+
+
+def test_unordered_files_lose_nothing(spark):
+    df = events(spark, 200)
+    source = folder()
+    df.repartition(4).write.mode("append").parquet(source)
+    stream = sources.file_stream(spark, source, files_per_trigger=1)
+    for make in (sources.without_repeats, lambda s: history.with_history(s, 3600, 86400)):
+        out = f"{folder()}/out"
+        jobs.to_files(make(stream), out, folder()).awaitTermination()
+        assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == list(range(200))
+    log = stream.selectExpr("timestamp", "driver_id client_id")
+    out = folder()
+    jobs.count_requests(log, out, folder()).awaitTermination()
+    counts = jobs.newest_per_key(jobs.read_batches(spark, out), ("window_start", "client_id"))
+    assert counts.agg({"requests": "sum"}).first()[0] == 200
+
+
+@pytest.mark.parametrize("name", ["src_event_stream", "str_rolling_risk", "snk_event_lake", "str_rate_windows", "str_dedup_late"])
+def test_registered_streams_read_a_table_of_many_files(spark, name):
+    from roadrisk.plans.catalog import QUERIES
+    from tests.conftest import SMALL
+
+    many = folder()
+    spark.read.parquet(f"{SMALL}/events.parquet").repartition(4).write.parquet(f"{many}/events.parquet")
+    one, parts = QUERIES[name].run(spark, SMALL), QUERIES[name].run(spark, many)
+    assert parts.count() == one.count() > 0
 
 
 def test_repeated_events_are_dropped(spark):
