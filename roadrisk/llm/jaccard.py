@@ -297,7 +297,8 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cells: i
     labelled = labelled.join(several, "token", "left_semi")
     second = labelled.select("*", split).groupBy("bucket").applyInArrow(_across(percent), "a long, b long").distinct()
     second = second.join(first, ["a", "b"], "left_anti")
-    roots = components(links.unionByName(_verified(second, sets, percent)))
+    stars = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(stars.unionByName(_verified(second, sets, percent)))
 
     names = members.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
     names = names.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("set", F.coalesce("root", "set").alias("root"), "least")

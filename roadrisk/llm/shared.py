@@ -175,14 +175,32 @@ def total_type(cell, width: int):
 # --- components ------------------------------------------------------------------------------------
 
 
+def _forests(batches):
+    """A spanning forest of each block of links: fewer links, the same components."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def root(node, parent=parent):
+            while (above := parent.setdefault(node, node)) != node:
+                parent[node] = node = parent[above]
+            return node
+
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        links = [(node, root(node)) for node in parent if parent[node] != node]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b), with the smallest node reachable as root.
 
     Large-star and small-star steps: each round hangs neighbours on smaller ones until only stars are left.
-    Links stay distributed; each round is written to the shared folder."""
-    edges = written(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    )
+    Before that, each block of links is thinned to a forest where it lies. Links stay distributed; each round
+    is written to the shared folder."""
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    edges = written(edges.mapInArrow(_forests, "a long, b long").distinct())
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
