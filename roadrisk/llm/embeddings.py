@@ -1,11 +1,13 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Each tree splits at random hyperplanes, one direction for each level and a threshold for each node: the
-median of a bounded sample (``SAMPLE`` vectors), or below the depth that the sample reaches, the mean of its last points. A vector near a
-threshold spills to both sides; the margin follows from the spread of the projected difference of two linked vectors.
-The forest is fitted on the sample, every vector is led down every tree, and vectors that share a leaf, a label and a
-length are compared by cosine in double precision. A pair counts in the first leaf that both share only, so that
-links are counted per leaf without a list of pairs. Equal vectors of a label are one entry with a count.
+Each tree splits at random hyperplanes, one direction for each level. The forest is fitted on a bounded sample (``SAMPLE``
+vectors): a node's threshold is the one that leaves the fewest pairs to compare on both sides, spilled vectors
+included, and a node that no threshold would thin out (a dense group) stays a leaf. Below the depth that the sample reaches, the
+median of the level's direction splits. A vector near a threshold spills to both sides; the margin follows from the spread of the
+projected difference of two linked vectors. Every vector is led down every tree, as deep as the number of vectors of its label asks,
+and vectors that share a leaf, a label and a length are compared by cosine in double precision. A pair counts in the first
+leaf that both share only, so that links are counted per leaf without a list of pairs. Equal vectors of a label are one entry
+with a count.
 
 A leaf above ``LEAF_MOST`` entries, such as one dense group, is dealt to blocks, and pairs of blocks are compared in
 tasks of their own. Nothing is capped. Output of a leaf is one row for each vector: its links and its group there.
@@ -29,53 +31,77 @@ COSINE = 0.93
 TREES = 6
 LEAF = 256  # vectors of a leaf that trees aim at
 LEAF_MOST = 4096
-SAMPLE = 20_000
-SPILL = 1.0  # margin, in standard deviations of the projected difference of two vectors at the threshold
+SAMPLE = 10_000
+FITTED = 32  # vectors of the sample that a fitted node has at least
+SPLIT_GAIN = 0.8  # a split must leave at most this share of the pairs
+SPILL = 0.5  # margin, in standard deviations of the projected difference of two vectors at the threshold
 BLOCK = 1024
+COLUMNS = 2048  # leaves tested at once
+MOST_DEPTH = 40
 
 
 class Forest:
-    """Directions by tree and level; thresholds of the nodes that the sample reaches."""
+    """Directions by tree and level; thresholds of the nodes that the sample reaches (NaN: the node is a leaf)."""
 
     def __init__(self, sample: np.ndarray, depth: int, trees: int, cosine: float, spill: float, seed: int = 7):
         dims = sample.shape[1]
         rng = np.random.default_rng(seed)
-        self.depth = depth
         self.directions = rng.standard_normal((trees, max(depth, 1), dims))
         self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
         self.margin = spill * math.sqrt(2 * (1 - cosine) / dims)
-        self.thresholds: list[list[dict[int, float]]] = []
+        self.thresholds: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        self.medians = np.zeros((trees, max(depth, 1)))
         for tree in range(trees):
             levels, members = [], {1: np.arange(len(sample))}
             projected = sample @ self.directions[tree].T
+            self.medians[tree] = np.median(projected, axis=0)
             for level in range(depth):
-                cut, below = {}, {}
+                names, cuts, below = [], [], {}
                 for node, own in members.items():
-                    cut[node] = float(np.median(projected[own, level])) if len(own) > 8 else float(projected[own, level].mean())
-                    left = projected[own, level] < cut[node]
-                    below[2 * node], below[2 * node + 1] = (own[left], own[~left]) if left.any() and not left.all() else (own, own)
-                levels.append(cut)
-                members = below if len(below) <= 2 * len(sample) else {}
-                if not members:
-                    break
+                    if len(own) >= FITTED:
+                        names.append(node)
+                        cuts.append(self._cut(projected[own, level]))
+                        if not math.isnan(cuts[-1]):
+                            left = projected[own, level] < cuts[-1]
+                            below[2 * node], below[2 * node + 1] = own[left], own[~left]
+                order = np.argsort(np.array(names, np.int64))
+                levels.append((np.array(names, np.int64)[order], np.array(cuts, np.float64)[order]))
+                members = below
             self.thresholds.append(levels)
 
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vector number, leaf id) of every leaf that a vector reaches."""
+    def _cut(self, values: np.ndarray) -> float:
+        values = np.sort(values)
+        count = len(values)
+        choices = values[np.unique(np.linspace(0.1 * count, 0.9 * count, 33).astype(int))]
+        left = np.searchsorted(values, choices + self.margin) / count
+        right = 1 - np.searchsorted(values, choices - self.margin) / count
+        pairs = left**2 + right**2
+        best = int(pairs.argmin())
+        return float(choices[best]) if pairs[best] <= SPLIT_GAIN else math.nan
+
+    def leaves(self, x: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector number, leaf id) of every leaf that a vector reaches, ordered by both; ``depth`` bounds the way of each vector."""
         numbers, leaves = [], []
         for tree, levels in enumerate(self.thresholds):
             projected = x @ self.directions[tree].T
             number, node = np.arange(len(x)), np.ones(len(x), np.int64)
-            for level, cut in enumerate(levels):
-                names = np.array(sorted(cut), np.int64)
-                value = np.array([cut[n] for n in names.tolist()])[np.searchsorted(names, node)]
-                offset = projected[number, level] - value
+            for level, (names, cuts) in enumerate(levels):
+                cut = np.full(len(node), self.medians[tree, level])
+                if len(names):
+                    place = np.minimum(np.searchsorted(names, node), len(names) - 1)
+                    cut = np.where(names[place] == node, cuts[place], cut)
+                ends = np.isnan(cut) | (depth[number] <= level)
+                numbers.append(number[ends])
+                leaves.append(node[ends] + (np.int64(tree) << 48))
+                number, node, cut = number[~ends], node[~ends], cut[~ends]
+                offset = projected[number, level] - cut
                 left, right = offset < self.margin, offset >= -self.margin
-                number = np.r_[number[left], number[right]]
-                node = np.r_[node[left] * 2, node[right] * 2 + 1]
+                number, node = np.r_[number[left], number[right]], np.r_[node[left] * 2, node[right] * 2 + 1]
             numbers.append(number)
             leaves.append(node + (np.int64(tree) << 48))
-        return np.concatenate(numbers), np.concatenate(leaves)
+        number, leaf = np.concatenate(numbers), np.concatenate(leaves)
+        order = np.lexsort((leaf, number))
+        return number[order], leaf[order]
 
 
 def _root_links(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,34 +116,54 @@ def _root_links(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _compared(cosine: float):
+def _met(earlier: list[np.ndarray], a: range, b: range) -> np.ndarray:
+    """Which pairs of the two blocks share an earlier leaf."""
+    met = np.zeros((len(a), len(b)), bool)
+    one, two = [np.concatenate([earlier[k] for k in part]) for part in (a, b)]
+    known = np.intersect1d(one, two)
+    rows = [np.repeat(np.arange(len(part)), [len(earlier[k]) for k in part]) for part in (a, b)]
+    for begin in range(0, len(known), COLUMNS):
+        columns = known[begin : begin + COLUMNS]
+        sides = []
+        for own, row, part in ((one, rows[0], a), (two, rows[1], b)):
+            place = np.minimum(np.searchsorted(columns, own), len(columns) - 1)
+            inside = columns[place] == own
+            side = np.zeros((len(part), len(columns)), np.float32)
+            side[row[inside], place[inside]] = 1
+            sides.append(side)
+        if (sides[0].all(0) & sides[1].all(0)).any():
+            return np.ones_like(met)
+        met |= sides[0] @ sides[1].T > 0
+    return met
+
+
+def _compared(cosine: float, raw: type):
     def compare(group: pa.Table) -> pa.Table:
         entry = group.column("entry").to_numpy()
         copies = group.column("copies").to_numpy().astype(np.int64)
-        leaf, side = group.column("leaf")[0].as_py(), group.column("side").to_numpy()
+        side = group.column("side").to_numpy()
         one_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        x = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(len(entry), -1)
-        # leaves of each entry that come before this one, as columns of a table
-        held = [np.frombuffer(v, np.int64) for v in group.column("leaves").to_pylist()]
-        earlier = [h[h < leaf] for h in held]
-        known, place = np.unique(np.concatenate(earlier), return_inverse=True)
-        met = np.zeros((len(entry), max(1, len(known))), np.float32)
-        met[np.repeat(np.arange(len(entry)), [len(e) for e in earlier]), place] = 1
+        x = np.frombuffer(b"".join(group.column("vector").to_pylist()), raw).reshape(len(entry), -1).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        earlier = [np.frombuffer(v, np.int64) for v in group.column("earlier").to_pylist()]
         links, label = np.zeros(len(entry), np.int64), np.arange(len(entry))
         for begin in range(0, len(entry), BLOCK):
-            a = slice(begin, begin + BLOCK)
+            a = range(begin, min(begin + BLOCK, len(entry)))
             for start in range(begin, len(entry), BLOCK):
-                b = slice(start, start + BLOCK)
-                i, j = np.nonzero(x[a] @ x[b].T >= cosine)
-                i, j = i + begin, j + start
-                right = (i < j) & (one_block | (side[i] != side[j]))
-                i, j = i[right], j[right]
-                label = _root_links(label, i, j)
-                first = np.einsum("ij,ij->i", met[i], met[j]) == 0 if len(i) < 4096 else (met[a] @ met[b].T)[i - begin, j - start] == 0
-                np.add.at(links, i[first], copies[j[first]])
-                np.add.at(links, j[first], copies[i[first]])
-        linked = (links > 0) | (label != np.arange(len(entry)))
-        linked |= np.isin(np.arange(len(entry)), label[linked])
+                b = range(start, min(start + BLOCK, len(entry)))
+                near = x[a.start : a.stop] @ x[b.start : b.stop].T >= cosine
+                if begin == start:
+                    near = np.triu(near, 1)
+                if not one_block:
+                    near &= side[a.start : a.stop, None] != side[None, b.start : b.stop]
+                if near.any():  # pairs that an earlier leaf holds too are counted and joined there
+                    near &= ~_met(earlier, a, b)
+                i, j = np.nonzero(near)
+                if len(i):
+                    label = _root_links(label, i + begin, j + start)
+                    links[a.start : a.stop] += near @ copies[b.start : b.stop]
+                    links[b.start : b.stop] += near.T @ copies[a.start : a.stop]
+        linked = links > 0
         return pa.table({"entry": entry[linked], "links": links[linked], "root": entry[label[linked]]})
 
     return compare
@@ -137,42 +183,45 @@ def linked(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf:
             F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
         ).withColumn("dims", F.size("embedding"))
     )
+    raw = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
     parts = []
     for size in [r["dims"] for r in entries.select("dims").distinct().collect()]:  # the lengths of vectors in use
         own = entries.filter(F.col("dims") == size)
-        count = own.count()
+        depths = written(own.groupBy("label").agg(F.ceil(F.log2(F.greatest(F.count("*") / leaf, F.lit(1.0)))).cast("int").alias("depth")))
+        deepest = min(MOST_DEPTH, depths.agg(F.max("depth")).first()[0])
         # a bounded sample fits the thresholds; it is chosen by hash
-        chosen = own.orderBy(F.xxhash64("entry"), "entry").limit(sample).select("embedding").toPandas()["embedding"]
-        points = np.stack([np.asarray(v, np.float64) for v in chosen])
-        points /= np.linalg.norm(points, axis=1, keepdims=True)
-        depth = max(0, math.ceil(math.log2(max(1, count / leaf))))
-        sent = spark.sparkContext.broadcast(Forest(points, depth, trees, cosine, spill))
-
-        def lead(batches, sent=sent):
-            for batch in batches:
-                x = np.stack(batch.column(3).to_numpy(zero_copy_only=False)).astype(np.float64) if batch.num_rows else np.empty((0, 1))
-                if not batch.num_rows:
-                    continue
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                number, leaves = sent.value.leaves(x)
-                own = [np.unique(leaves[number == k]) for k in range(len(x))]
-                number = np.repeat(np.arange(len(x)), [len(v) for v in own])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(number)), batch.column(1).take(pa.array(number)), batch.column(2).take(pa.array(number)),
-                        pa.array(np.concatenate(own)), pa.array([own[k].tobytes() for k in number], pa.binary()), pa.array([x[k].tobytes() for k in number], pa.binary()),
-                    ],
-                    ["entry", "copies", "label", "leaf", "leaves", "unit"],
-                )
-
-        kind = f"entry long, copies long, label {own.schema['label'].dataType.simpleString()}, leaf long, leaves binary, unit binary"
-        led = written(own.select("entry", "copies", "label", "embedding").mapInArrow(lead, kind))
-        sizes = led.groupBy("label", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
-        blocks = F.ceil(F.col("n") / leaf_most).cast("int")
-        dealt = led.join(sizes, ["label", "leaf"]).withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
+        chosen = own.orderBy(F.xxhash64("entry"), "entry").limit(sample).select(F.col("embedding").cast("array<float>").alias("e")).toArrow()
+        points = np.asarray(chosen.column("e").combine_chunks().flatten(), np.float64).reshape(chosen.num_rows, size)
+        points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
+        sent = spark.sparkContext.broadcast(Forest(points, deepest, trees, cosine, spill))
+
+        def lead(batches, sent=sent, size=size):
+            for whole in batches:
+                for begin in range(0, whole.num_rows, BLOCK):
+                    batch = whole.slice(begin, BLOCK)
+                    x = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, size)
+                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    number, leaves = sent.value.leaves(unit, batch.column("depth").to_numpy())
+                    first = np.searchsorted(number, np.arange(len(x)))
+                    data = [v.tobytes() for v in x.astype(raw)]
+                    rows = pa.array(number)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[batch.column(c).take(rows) for c in ("entry", "copies", "label")], pa.array(leaves),
+                            pa.array([leaves[first[n] : k].tobytes() for k, n in enumerate(number)], pa.binary()), pa.array(data, pa.binary()).take(rows),
+                        ],
+                        ["entry", "copies", "label", "leaf", "earlier", "vector"],
+                    )
+
+        kind = f"entry long, copies long, label {own.schema['label'].dataType.simpleString()}, leaf long, earlier binary, vector binary"
+        led = written(own.join(depths, "label").select("entry", "copies", "label", "embedding", "depth").mapInArrow(lead, kind))
+        # leaves above the bound are few; written, their size is known, and only a small table is broadcast
+        full = written(led.groupBy("label", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > leaf_most))
+        dealt = led.join(full, ["label", "leaf"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / leaf_most), F.lit(1)).cast("int"))
+        dealt = dealt.withColumn("side", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other", "blocks", "n")
-        parts.append(dealt.groupBy("label", "leaf", "i", "j").applyInArrow(_compared(cosine), "entry long, links long, root long"))
+        parts.append(dealt.groupBy("label", "leaf", "i", "j").applyInArrow(_compared(cosine, raw), "entry long, links long, root long"))
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]
