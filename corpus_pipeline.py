@@ -63,7 +63,7 @@ STAGES = [
     ("pii", without_personal_data),
     ("packing", packed),
 ]
-ORACLE_SQL = None  # the toxicity model and best-fit packing are beyond SQL; see tests/llm/test_pipeline.py
+ORACLE_SQL = None  # the toxicity model and best-fit packing are beyond SQL; see tests/llm/test_operators.py
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roadrisk.llm.shared import (
-    WordIds, added_slices, buckets_for, components, grams, mixed, packed, summed_counts, text_blocks, text_bytes, unpacked, written,
+    WordIds, added_slices, buckets_for, components, grams, mixed, packed, text_blocks, text_bytes, unpacked, written,
 )
 
 WORDS = 4  # of a shingle
@@ -242,6 +242,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
+def _marks(ids: DataFrame, bits: int) -> np.ndarray:
+    """A packed table of ``bits`` bits, set where an id falls; parts are united in two rounds, as in ``added_slices``."""
+    width = bits // 8 // COUNT_SLICES
+
+    def mark(batches):
+        held = np.zeros(bits, bool)
+        for batch in batches:
+            held[batch.column(0).to_numpy() & (bits - 1)] = True
+        if held.any():
+            data = np.packbits(held).tobytes()
+            parts = [data[k * width : (k + 1) * width] for k in range(COUNT_SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "cells"])
+
+    def united(group: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.uint8)
+        for cell in group.column("cells"):
+            total |= np.frombuffer(cell.as_buffer(), np.uint8)
+        return pa.table({"slice": group.column("slice").slice(0, 1).cast(pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
+
+    parts = ids.mapInArrow(mark, "slice int, cells binary").withColumn("part", F.spark_partition_id() % 64)
+    parts = parts.groupBy("slice", "part").applyInArrow(united, "slice int, cells binary")
+    table = np.zeros((COUNT_SLICES, width), np.uint8)
+    for row in parts.groupBy("slice").applyInArrow(united, "slice int, cells binary").collect():  # COUNT_SLICES rows
+        table[row["slice"]] = np.frombuffer(row["cells"], np.uint8)
+    return table.ravel()
+
+
 def _whole_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(set, elements, bits) of the wanted sets, from one text of each.
 
@@ -251,11 +278,7 @@ def _whole_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: i
     holders = written(members.groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set", "left_semi").select("set", F.xxhash64("doc_id").alias("id")))
     bits = min(MOST_MARKS, max(1 << 12, 1 << (16 * holders.count()).bit_length()))
 
-    def mark(batches, total):
-        for batch in batches:
-            total[batch.column(0).to_numpy() & (bits - 1)] = 1
-
-    marks = spark.sparkContext.broadcast(np.packbits(summed_counts(holders.select("id"), mark, bits) > 0))
+    marks = spark.sparkContext.broadcast(_marks(holders.select("id"), bits))
 
     def elements(batches):
         ids = WordIds()

@@ -33,6 +33,7 @@ REACH = 12  # characters after a word's start whose subsequences count for it
 TOP = 6  # highest words of a text
 LANDMARKS = 256
 TRAINED_WORDS = 8_000
+KERNEL_WORDS = 64  # described at once
 TOXIC_ROWS, CLEAN_ROWS = 1_000, 2_000
 FOLDS = 5  # the first is held out
 
@@ -100,8 +101,8 @@ def kernel(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarr
     grid = np.zeros((len(known), len(landmarks)), np.float32)
     grid[np.searchsorted(known, codes), number] = weights / np.maximum(length, 1e-9)[number]
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for begin in range(0, len(words), 500):
-        number, codes, weights = described(words[begin : begin + 500])
+    for begin in range(0, len(words), KERNEL_WORDS):
+        number, codes, weights = described(words[begin : begin + KERNEL_WORDS])
         place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
         fits = known[place] == codes
         number, place, weights = number[fits], place[fits], weights[fits].astype(np.float32)
