@@ -88,10 +88,11 @@ def prepare_features(df: DataFrame, target: str | None = None) -> DataFrame:
     )
 
 
-def align_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def align_features(df: DataFrame, names: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
     """The training columns in training order: extra ones go, missing ones and nulls become 0."""
     return df.select(
         "driver_id",
+        *carried,
         *[
             F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n)
             if n in df.columns
@@ -114,9 +115,14 @@ class RiskModel:
     train_rows: int
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``risk_score``, ``category`` and one probability per class."""
-        keep = [c for c in df.columns if c not in self.features]
-        scaled = self.preparation.transform(align_features(df, self.features))
+        """Add ``risk_score``, ``category`` and one probability per class; other columns ride along in a struct, so
+        that a driver may have several rows."""
+        columns = ["driver_id", "risk_score", "category", *[f"p_{label}" for label in self.labels]]
+        extra = [c for c in df.columns if c not in self.features and c not in columns]
+        carried = ()
+        if extra:
+            df, carried = df.withColumn("_carried", F.struct(*extra)), ("_carried",)
+        scaled = self.preparation.transform(align_features(df, self.features, carried))
         scored = self.regressor.transform(scaled).withColumn("risk_score", clamp(F.col("prediction"), 0.0, 1.0))
         scored = scored.drop("prediction", *[n for n in self.features])
         for label, model in self.classifiers.items():
@@ -141,11 +147,7 @@ class RiskModel:
             )
         )
         result = scored.withColumn("category", best["label"])
-        columns = ["driver_id", "risk_score", "category", *[f"p_{label}" for label in self.labels]]
-        extra = [c for c in keep if c not in (*columns, "driver_id")]
-        if not extra:
-            return result.select(*columns)
-        return result.select(*columns).join(df.select("driver_id", *extra), "driver_id")
+        return result.select(*columns, *[F.col("_carried")[c].alias(c) for c in extra])
 
 
 @dataclass
@@ -251,8 +253,7 @@ def regressor_importance(model: RiskModel) -> dict[str, float]:
 
 def evaluate(model: RiskModel, test: DataFrame) -> dict[str, float | None]:
     """Error, R² and macro AUC on held-out rows; no AUC where a class is missing there."""
-    truth = test.select("driver_id", F.col("risk_score").alias("truth"), F.col("category").alias("truth_label"))
-    scored = cut_lineage(model.transform(test.drop("risk_score", "category")).join(truth, "driver_id"))
+    scored = cut_lineage(model.transform(test.withColumnsRenamed({"risk_score": "truth", "category": "truth_label"})))
     errors = regression_metrics(scored, "truth", "risk_score").first()
     auc = macro_auc(scored, "truth_label", {label: f"p_{label}" for label in model.labels}).first()
     return {

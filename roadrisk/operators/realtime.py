@@ -239,9 +239,10 @@ def iso(time: Column) -> Column:
 
 
 def envelopes(events: DataFrame, ingested_at: Column | None = None) -> DataFrame:
-    """Event as ingested: key, JSON text of the twelve fields and the ingestion time."""
+    """Event as ingested: key, JSON text of the twelve fields, the event id where there is one, and the ingestion time."""
     stamp = F.current_timestamp() if ingested_at is None else ingested_at
     ready = events.select(
+        *[c for c in events.columns if c == "event_id"],
         *[iso(F.col(n)).alias(n) if n == "timestamp" else F.col(n) for n in EVENT_FIELDS],
         iso(stamp).alias("ingestion_timestamp"),
     )

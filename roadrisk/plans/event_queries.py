@@ -152,10 +152,9 @@ def _(i):
     sent = realtime.envelopes(events, clock.ntz("2024-02-01 00:00:00"))
     fields = ", ".join(
         f"{f.name} {'string' if f.name == 'timestamp' else f.dataType.simpleString()}"
-        for f in events.select(*realtime.EVENT_FIELDS).schema.fields
+        for f in events.select("event_id", *realtime.EVENT_FIELDS).schema.fields
     )
-    back = realtime.read_envelopes(sent, f"{fields}, ingestion_timestamp string")
-    return back.join(events.select("event_id", "driver_id", "timestamp"), ["driver_id", "timestamp"])
+    return realtime.read_envelopes(sent, f"{fields}, ingestion_timestamp string")
 
 
 BUCKET_KEY = "driver_id, bucket"

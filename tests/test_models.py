@@ -62,6 +62,12 @@ def test_missing_and_extra_columns(trained, features):
     assert ml.predict_scores(trained, bare, "no_such_model").collect() == ml.predict_scores(trained, bare).collect()
 
 
+def test_several_rows_of_a_driver_are_scored_once_each(trained, features):
+    twice = features.withColumn("bucket", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = trained.choose("random_forest").transform(twice)
+    assert rows.count() == 800 and rows.select("driver_id", "bucket").distinct().count() == 800
+
+
 def test_training_repeats(features):
     one = ml.train_models(features, families=("random_forest",), rules=RULES)
     two = ml.train_models(features.repartition(3), families=("random_forest",), rules=RULES)

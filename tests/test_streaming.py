@@ -222,6 +222,16 @@ def test_upload_scores_follow_the_newest_usable_upload(spark):
         assert got[driver]["risk_score"] == pytest.approx(newest["avg_speed"])
 
 
+def test_envelopes_lead_to_histories_and_alerts(spark):
+    df = events(spark, 60)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields} | {"timestamp": "string"}
+    text = ", ".join(f"{n} {types[n]}" for n in ("event_id", *realtime.EVENT_FIELDS)) + ", ingestion_timestamp string"
+    back = realtime.read_envelopes(realtime.envelopes(df), text)
+    scored, want = realtime.risk_history(back, 3600, 86400), realtime.risk_history(df, 3600, 86400)
+    assert_same({r["event_id"]: r for r in scored.collect()}, {r["event_id"]: r for r in want.collect()})
+    assert realtime.alerts(scored).count() == realtime.alerts(want).count() > 0
+
+
 def test_envelopes_skip_malformed_texts(spark):
     df = events(spark, 5)
     sent = realtime.envelopes(df, clock.ntz("2024-02-01 00:00:00"))
