@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from roadrisk.llm.shared import text_blocks
+from roadrisk.llm.shared import text_blocks, with_small_batches
 
 WINDOW = 10  # words of a test phrase
 SAMPLED = 16  # every so many suffix positions of a run are kept
@@ -237,11 +237,9 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).dropna()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    found = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    schema = found.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    found = with_small_batches(docs).select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     kind = f"row {found.schema['row'].dataType.simpleString()}, text string"
     kind += ", n_words long, n_hit long, marks binary, items array<string>"
-    assert schema
     for block in range(blocks):
         chosen = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast(Phrases([(r["item"], bytes(r["text"])) for r in chosen.collect()], window))

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roadrisk.llm.shared import (
-    WordIds, added_slices, buckets_for, components, grams, mixed, packed, text_blocks, text_bytes, unpacked, written,
+    WordIds, added_slices, buckets_for, components, grams, mixed, packed, text_blocks, text_bytes, unpacked, with_small_batches,
+    written,
 )
 
 WORDS = 4  # of a shingle
@@ -85,8 +86,13 @@ def _distinct_sets(batch_texts, ids: WordIds, words: int):
     return digests, sizes, distinct
 
 
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Counts in steps of 1/64 of a power of two, which two bytes hold at any size: enough to order shingles by."""
+    return np.rint(64 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint16)
+
+
 def _profile(docs: DataFrame, words: int, cells: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, set) of every document, and how often each cell's shingles occur in distinct sets of a block."""
+    """(doc_id, n_shingles, set) of every document, and the rarity of each cell's shingles in the distinct sets of blocks."""
     shift = np.uint64(64 - (cells.bit_length() - 1))
     width = cells // COUNT_SLICES
 
@@ -107,7 +113,7 @@ def _profile(docs: DataFrame, words: int, cells: int) -> tuple[DataFrame, np.nda
 
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set long, slice int, cells binary"
     rows = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(measure, kind))
-    counts = added_slices(rows.filter("slice is not null").select("slice", "cells"), width, COUNT_SLICES)
+    counts = added_slices(rows.filter("slice is not null").select("slice", "cells"), width, COUNT_SLICES, rarity)
     return rows.filter("slice is null").select("doc_id", "n_shingles", "set"), counts
 
 
@@ -300,8 +306,8 @@ def _whole_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: i
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document."""
     spark = docs.sparkSession
-    members, counts = _profile(docs, words, cells)
-    counts = spark.sparkContext.broadcast(counts.astype(np.uint32))
+    members, counts = _profile(with_small_batches(docs), words, cells)
+    counts = spark.sparkContext.broadcast(counts)
     # about 7 bytes of text for a word, so many words for a posting
     buckets = buckets_for(text_bytes(docs) // 7 * (100 - percent) // 100, BUCKET_POSTINGS)
     lists = _prefixes(docs, counts, buckets, words, percent, cells).groupBy("bucket")

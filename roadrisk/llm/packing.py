@@ -20,7 +20,7 @@ from bisect import bisect_left, insort
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from roadrisk.llm.shared import text_blocks, written
+from roadrisk.llm.shared import text_blocks, with_small_batches, written
 
 CAPACITY = 2048  # words
 GROUP = 4000  # pieces packed together
@@ -71,7 +71,7 @@ def pieces_of(docs: DataFrame, capacity: int) -> DataFrame:
 
     text = F.col("text").cast("string")
     plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.when(F.length(plain) > 0, F.xxhash64(plain)).alias("cluster"), text.alias("text"))
+    rows = with_small_batches(docs).select("doc_id", F.col("source").cast("string").alias("source"), F.when(F.length(plain) > 0, F.xxhash64(plain)).alias("cluster"), text.alias("text"))
     return rows.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, cluster long, piece int, start long, n_words int")
 
 

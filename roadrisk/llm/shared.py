@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BLOCK_BYTES = 4_000_000  # text handled at once in a task
+BATCH_BYTES = "8MB"  # sent to a Python worker at once
 KEPT_WORDS = 200_000  # word ids a task remembers
 
 
@@ -41,6 +42,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def with_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches are bounded by their bytes, unless it has a bound already: the default
+    counts rows, and 10,000 long texts take hundreds of megabytes of each task several times over."""
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 # --- words -----------------------------------------------------------------------------------------
 
 
@@ -150,8 +160,8 @@ def summed_counts(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch], np.nda
     return added_slices(df.mapInArrow(counts, "slice int, cells binary"), width, slices)[:size]
 
 
-def added_slices(parts: DataFrame, width: int, slices: int) -> np.ndarray:
-    """The sum of counters that tasks sent as rows (slice, cells)."""
+def added_slices(parts: DataFrame, width: int, slices: int, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """The sum of counters that tasks sent as rows (slice, cells); with ``finish``, what it makes of the sums."""
 
     def added(group: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
@@ -159,11 +169,18 @@ def added_slices(parts: DataFrame, width: int, slices: int) -> np.ndarray:
             total += np.frombuffer(cell.as_buffer(), total_type(cell, width))
         return pa.table({"slice": group.column("slice").slice(0, 1).cast(pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
+    def finished(group: pa.Table) -> pa.Table:
+        sums = added(group)
+        if finish is None:
+            return sums
+        return sums.set_column(1, "cells", pa.array([finish(np.frombuffer(sums.column("cells")[0].as_py(), np.int64)).tobytes()], pa.binary()))
+
+    kind = np.dtype(np.int64) if finish is None else finish(np.zeros(1, np.int64)).dtype
     parts = parts.withColumn("part", F.spark_partition_id() % 64)
     parts = parts.groupBy("slice", "part").applyInArrow(added, "slice int, cells binary")
-    total = np.zeros(width * slices, np.int64)
-    for row in parts.groupBy("slice").applyInArrow(added, "slice int, cells binary").collect():  # ``slices`` rows
-        total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["cells"], np.int64)
+    total = np.full(width * slices, 0 if finish is None else finish(np.zeros(1, np.int64))[0], kind)
+    for row in parts.groupBy("slice").applyInArrow(finished, "slice int, cells binary").collect():  # ``slices`` rows
+        total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["cells"], kind)
     return total
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from roadrisk.llm.shared import text_blocks
+from roadrisk.llm.shared import text_blocks, with_small_batches
 
 DECAY = 0.4
 SPREAD = 7  # characters that a subsequence may span
@@ -34,6 +34,7 @@ TOP = 6  # highest words of a text
 LANDMARKS = 256
 TRAINED_WORDS = 8_000
 KERNEL_WORDS = 64  # described at once
+SCORED_BYTES = 250_000  # text scored at once
 TOXIC_ROWS, CLEAN_ROWS = 1_000, 2_000
 FOLDS = 5  # the first is held out
 
@@ -93,23 +94,30 @@ def described(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(map(np.concatenate, (number, codes, weights)))
 
 
-def kernel(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kernel values of words with landmarks of unit length, and the landmarks' subsequences as a table."""
+def kernel(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Kernel values of words with landmarks of unit length; the codes of the landmarks' subsequences in order, and the
+    landmark number and weight of each: a subsequence of a word meets only the landmarks that have it."""
     number, codes, weights = described(landmarks)
     length = np.sqrt(np.bincount(number, weights**2, len(landmarks)))
-    known = np.unique(codes)
-    grid = np.zeros((len(known), len(landmarks)), np.float32)
-    grid[np.searchsorted(known, codes), number] = weights / np.maximum(length, 1e-9)[number]
+    weights = weights / np.maximum(length, 1e-9)[number]
+    order = np.argsort(codes, kind="stable")
+    number, codes, weights = number[order], codes[order], weights[order]
+    known, first, holders = np.unique(codes, return_index=True, return_counts=True)
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for begin in range(0, len(words), KERNEL_WORDS):
-        number, codes, weights = described(words[begin : begin + KERNEL_WORDS])
-        place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        fits = known[place] == codes
-        number, place, weights = number[fits], place[fits], weights[fits].astype(np.float32)
-        if len(number):
-            first = np.r_[0, np.flatnonzero(number[1:] != number[:-1]) + 1]
-            out[begin + number[first]] = np.add.reduceat(grid[place] * weights[:, None], first, axis=0)
-    return out, known, grid
+    for begin in range(0, len(words) if len(known) else 0, KERNEL_WORDS):
+        own = words[begin : begin + KERNEL_WORDS]
+        word, code, weight = described(own)
+        place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        fits = known[place] == code
+        word, place, weight = word[fits], place[fits], weight[fits]
+        if len(word):
+            met = holders[place]
+            ends = np.cumsum(met)
+            at = np.arange(ends[-1]) + np.repeat(first[place] - ends + met, met)
+            cell = np.repeat(word, met) * len(landmarks) + number[at]
+            values = np.bincount(cell, np.repeat(weight, met) * weights[at], len(own) * len(landmarks))
+            out[begin : begin + len(own)] = values.reshape(len(own), -1)
+    return out, codes, (number, weights)
 
 
 def newton(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, penalty: float, loss: str) -> np.ndarray:
@@ -212,15 +220,14 @@ def trained(rows: list[tuple[str | None, int, bool]], landmarks: int = LANDMARKS
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if w not in set(chosen)]
     chosen += common[: landmarks // 4] + common[landmarks // 4 :: max(1, len(common) // (landmarks // 4))][: landmarks // 4]
     words = sorted(set(clean) | set(toxic), key=lambda w: (-(toxic[w] / sizes[1] + clean[w] / sizes[0]), w))[:most_words]
-    values, known, grid = kernel([*words, *chosen], chosen)
+    values, codes, (number, parts) = kernel([*words, *chosen], chosen)
     level, axes = np.linalg.eigh(values[len(words) :].astype(np.float64) + 1e-3 * np.eye(len(chosen)))
     root = axes / np.sqrt(np.maximum(level, 1e-6))
     # a word counts as toxic as often as it is in toxic rows, as clean as often as it is in clean ones
     described_by = values[: len(words)] @ root
     first, second = np.array([toxic[w] for w in words]) / sizes[1], 2 * np.array([clean[w] for w in words]) / sizes[0]
     fitted = newton(described_by, first * 100, second * 100, 0.1, "hinge")
-    folded = np.zeros(SYMBOLS**4, np.float32)
-    folded[known] = grid @ (root @ fitted[:-1])
+    folded = np.bincount(codes, parts * (root @ fitted[:-1])[number], SYMBOLS**4).astype(np.float32)
     weights = np.stack([folded * np.float32(DECAY ** (c - 3)) if c >= 3 else folded * 0 for c in range(SPREAD)])
     model = Model(weights, float(fitted[-1]), None, share)
     rest = [(t, x) for t, x, for_curve in rows if for_curve]
@@ -253,10 +260,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        for batch, texts in text_blocks(batches, size=1_000_000):
+        for batch, texts in text_blocks(batches, size=SCORED_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.scores(texts), pa.float64())], ["row", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = with_small_batches(docs).select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
