@@ -359,6 +359,36 @@ def test_urls(spark):
     assert urls.judged(spark.createDataFrame(rows[:3], "page_id long, url string")).toPandas().verdict.tolist() == ["allow"] * 3
 
 
+def test_url_ratios_equal_exact_counts_of_whole_urls(spark):
+    rng = np.random.default_rng(9)
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 12)) for _ in range(1500)]
+    rows = [(k, f"http://{n}.net/{n[::-1]}?q={n[:4]}" if k % 2 else f"https://{n}.org/fr/{n[::-1]}#{n[:4]}") for k, n in enumerate(names)]
+    rows += [(9000, "http://a.info/x?buy"), (9001, "http://a.info/x?read"), (9002, None), (9003, "é no scheme"), (9004, "http://" + "y" * 3000)]
+    got = urls.judged(spark.createDataFrame(rows, "page_id long, url string").repartition(5)).toPandas().set_index("page_id")
+
+    def grams(url):
+        data = [0] * 5 + [b + 1 for b in (url or "").encode()] + [0]
+        return [(tuple(data[k - order : k]), data[k]) for k in range(5, len(data)) for order in range(6)]
+
+    seen = {(v, which): defaultdict(int) for v in (0, 1) for which in (0, 1)}
+    for k, url in rows[: len(names)]:
+        for context, after in grams(url) if zlib.crc32(str(k).encode()) % 5 else ():
+            seen[1 - k % 2, 0][context] += 1
+            seen[1 - k % 2, 1][context, after] += 1
+
+    def level(url, v):
+        total = 0.0
+        for at, (context, after) in enumerate(grams(url)):
+            p = 1 / 257 if at % 6 == 0 else p
+            p = (seen[v, 1].get((context, after), 0) + 3 * p) / (seen[v, 0].get(context, 0) + 3)
+            total += np.log(p) if at % 6 == 5 else 0
+        return total / (len((url or "").encode()) + 1)
+
+    for k, url in [*rows[:40], *rows[len(names) :]]:
+        assert got.loc[k, "ratio"] == pytest.approx(level(url, 1) - level(url, 0), abs=1e-9)
+    assert got.loc[9000, "ratio"] != got.loc[9001, "ratio"]
+
+
 # --- 10 ---------------------------------------------------------------------------------------------
 
 
