@@ -1,17 +1,20 @@
-"""Personal data: patterns, and words of the surroundings that disclose a value by information content.
+"""Personal data: patterns, and words of the document that disclose a value by information content.
 
-Base spans (email, ip, card, phone) come from patterns. Every distinct value found is a protected entity. Words within
-``REACH`` characters of a value are terms that may reveal it: with document frequencies over the whole corpus, a term t
+Base spans (email, ip, card, phone) come from patterns. Every distinct value found is a protected entity. All words of a
+document that holds a value are terms that may reveal it: with document frequencies over the whole corpus, a term t
 discloses an entity e as far as PMI(t, e) reaches the information content of e, PMI / IC = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)).
-From ``THRESHOLD`` on (1: the term occurs nowhere else) it is a span beside the value: removed when the term is certain to
-reveal the value, generalised otherwise. Pairs seen in fewer than ``SUPPORT`` documents are no evidence.
+Pairs seen in fewer than ``SUPPORT`` documents have a smoothed estimate: one more document with t, which holds e as often as
+any does, (n(t,e) + n(e) / N) / (n(t) + 1) in place of n(t,e) / n(t). From ``THRESHOLD`` on (1: the term occurs nowhere else) each
+occurrence of the term in the documents that hold the value and the term is a span: removed when the term is certain to reveal
+the value, generalised otherwise. A smoothed estimate is never certain.
 
-DataFrame functions only. Surroundings are bounded, so the pairs grow with the values found, not with their square;
-word counts are combined before they are shuffled. Texts are read once for values and once for words.
+DataFrame functions only. A term in too many documents to reach the threshold for any value of a document is left out
+before pairs are made, which loses none: n(t,e) is at most n(e), so n(t) is at most n(e)^0.8 N^0.2. Word counts are combined
+before they are shuffled.
 
 Defined cases: a null text is an empty one; a value found several times in a document counts once; overlapping spans of
 different kinds are all reported and masked as one; repeated rows (same id and text) each get the same spans; null
-ids are kept; other columns ride along in ``sanitised``.
+ids are kept; documents without a value keep all their words; other columns ride along in ``sanitised``.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}  # without it a text has no match
-REACH = 60  # code points on each side of a value
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{3,}"  # letters and characters beyond ASCII
 SUPPORT = 3
 THRESHOLD = 0.8
@@ -93,74 +95,66 @@ def _text() -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """key, doc_id, base (array of spans) and the surroundings of each span."""
+    """key, doc_id, base (array of spans), and the text where it has any."""
     rows = docs.select("doc_id", _key(_text()).alias("key"), _text().alias("text"))
     rows = rows.withColumns({f"{kind}_": spans_of(kind, F.col("text")) for kind in PATTERNS})
     rows = rows.withColumn("base", F.concat(*[F.col(f"{kind}_") for kind in PATTERNS]))
+    return rows.select("key", "doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
 
-    def around(span):
-        begin = F.greatest(span["start"] - REACH, F.lit(0))
-        return F.struct(
-            begin.alias("begin"), F.substring(F.col("text"), begin + 1, span["start"] - begin).alias("left"),
-            F.substring(F.col("text"), span["end"] + 1, F.lit(REACH)).alias("right"),
-            (span["end"] + REACH < F.length("text")).alias("cut"),
-        )
 
-    return rows.select("key", "doc_id", "base", F.transform("base", around).alias("near"))
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _words(side: Column, begin: Column) -> Column:
-    """Words of a piece of text with their positions."""
-    pieces = F.arrays_zip(F.split(side, TERM, -1).alias("gap"), F.regexp_extract_all(side, F.lit(TERM), F.lit(0)).alias("word"))
-    kind = "array<struct<word:string,start:int,end:int>>"
-    start = F.struct(begin.cast("int").alias("at"), F.expr(f"cast(array() as {kind})").alias("words"))
+def _occurrences(text: Column, terms: Column) -> Column:
+    """Spans of all words of a text that are among the terms."""
+    pieces = F.arrays_zip(F.split(text, TERM, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("word"))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"))
 
     def step(seen, piece):
         first = seen["at"] + F.length(piece["gap"])
         after = first + F.length(piece["word"])
-        word = F.struct(piece["word"].alias("word"), first.alias("start"), after.alias("end"))
-        known = F.when(piece["word"].isNull(), seen["words"]).otherwise(F.concat(seen["words"], F.array(word)))
-        return F.struct(F.coalesce(after, first).alias("at"), known.alias("words"))
+        term = F.lower(piece["word"])
+        span = F.struct(F.lit(KINDS.index("term")).alias("kind"), first.alias("start"), after.alias("end"), term.alias("value"))
+        known = F.when(F.array_contains(terms, term), F.concat(seen["spans"], F.array(span))).otherwise(seen["spans"])
+        return F.struct(F.coalesce(after, first).alias("at"), known.alias("spans"))
 
-    return F.aggregate(pieces, start, step)["words"]
+    return F.aggregate(pieces, start, step)["spans"]
 
 
 def disclosing(docs: DataFrame, base: DataFrame, support: int, threshold: float) -> DataFrame:
-    """key, and the term spans of that document with their strength."""
-    each = base.filter(F.size("base") > 0).select("key", "base", F.explode(F.arrays_zip("base", "near")).alias("x"))
-    each = each.select("key", "base", F.col("x.base.value").alias("value"), F.col("x.base").alias("span"), F.col("x.near").alias("near"))
-    # words that the reach cuts off are left out
-    left = F.filter(_words(F.col("near.left"), F.col("near.begin")), lambda w: (w["start"] > F.col("near.begin")) | (F.col("near.begin") == 0))
-    right = F.filter(_words(F.col("near.right"), F.col("span.end")), lambda w: ~F.col("near.cut") | (w["end"] < F.col("span.end") + REACH))
-    words = F.filter(F.concat(left, right), lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    near = written(each.select("key", "value", F.explode_outer(words).alias("w")).select("key", "value", F.lower("w.word").alias("term"), "w.start", "w.end"))
-    entities = near.groupBy("value").agg(F.count_distinct("key").alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = near.filter("term is not null").select("value", "term", "key").distinct().groupBy("value", "term").agg(F.count("*").alias("n_te"))
-    pairs = pairs.filter(F.col("n_te") >= support).join(entities, "value")
-    vocabulary = docs.select(F.array_distinct(F.regexp_extract_all(F.lower(_text()), F.lit(TERM), F.lit(0))).alias("words"))
-    counts = vocabulary.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.count()
-    joint = F.log(F.lit(float(total)) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    content = F.log(F.lit(float(total)) / F.col("n_e"))
-    strong = pairs.join(counts, "term").withColumn("strength", F.when(content > 0, joint / content)).filter(F.col("strength") >= threshold)
-    spans = near.join(strong.select("value", "term", "strength"), ["value", "term"])
-    spans = spans.groupBy("key", "start", "end", "term").agg(F.max("strength").alias("strength"))
-    span = F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end", F.col("term").alias("value"))
-    return spans.groupBy("key").agg(
-        F.array_sort(F.collect_list(span)).alias("terms"),
-        F.array_sort(F.collect_list(F.when(F.col("strength") >= 1 - 1e-9, F.col("start")))).alias("certain"),
-    )
+    """key, words (the terms of that document that disclose one of its values), sure (those certain to)."""
+    valued = base.filter(F.size("base") > 0).dropDuplicates(["key"])
+    values = valued.select("key", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("value"))
+    entities = values.groupBy("value").agg(F.count("*").alias("n_e"))
+    total, most = docs.count(), entities.agg(F.max("n_e")).first()[0] or 0
+    vocabulary = docs.select(F.explode(_distinct_words(_text())).alias("term"))
+    counts = vocabulary.groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = counts.filter(F.col("n_t") <= most**threshold * total ** (1 - threshold) * (1 + 1e-9))
+    # letters stand in no values but emails
+    outside = F.regexp_replace("text", PATTERNS["email"], " ")
+    terms = valued.select("key", F.explode(_distinct_words(outside)).alias("term")).join(counts, "term")
+    rate = F.col("n_e") / float(total)
+    reachable = F.least("n_t", "n_e") / F.col("n_t") >= F.pow(rate, 1 - threshold) * (1 - 1e-9)
+    near = written(terms.join(values.join(entities, "value"), "key").filter(reachable & (F.col("n_e") < total)))
+    pairs = near.groupBy("value", "term", "n_e", "n_t").agg(F.count("*").alias("n_te"))
+    seen = F.col("n_te") / F.greatest("n_t", "n_te")
+    smoothed = (F.col("n_te") + rate) / (F.col("n_t") + 1)
+    share = F.when(F.col("n_te") >= support, seen).otherwise(smoothed)
+    strong = pairs.withColumn("strength", 1 - F.log(share) / F.log(rate)).filter(F.col("strength") >= threshold)
+    sure = (F.col("n_te") >= support) & (F.col("strength") >= 1 - 1e-9)
+    marked = near.select("key", "value", "term").join(strong.select("value", "term", sure.alias("sure")), ["value", "term"])
+    return marked.groupBy("key").agg(F.collect_set("term").alias("words"), F.collect_set(F.when(F.col("sure"), F.col("term"))).alias("sure"))
 
 
 def protected(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """key, doc_id, base, terms, certain (starts of terms to remove) of each document."""
     base = written(base_spans(docs))
-    found = disclosing(docs, base, support, threshold)
-    joined = base.select("key", "doc_id", "base").join(found, "key", "left")
-    return joined.withColumns({
-        "terms": F.coalesce("terms", F.expr(f"cast(array() as array<{SPAN}>)")),
-        "certain": F.coalesce("certain", F.expr("cast(array() as array<int>)")),
-    })
+    joined = base.join(disclosing(docs, base, support, threshold), "key", "left")
+    found = F.filter(_occurrences(F.col("text"), F.col("words")), lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    joined = joined.withColumn("terms", F.when(F.col("words").isNotNull(), found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
+    certain = F.transform(F.filter("terms", lambda w: F.array_contains("sure", w["value"])), lambda w: w["start"])
+    return joined.select("key", "doc_id", "base", "terms", F.coalesce(certain, F.expr("cast(array() as array<int>)")).alias("certain"))
 
 
 def _listed(spans: Column) -> Column:

@@ -436,6 +436,21 @@ def test_terms_that_disclose_a_value(spark):
     assert pii.THRESHOLD < by_hand < 1
 
 
+def test_terms_disclose_from_anywhere_in_the_document(spark):
+    filler = " ".join(["the rest of it for us"] * 10)
+    rows = [(k, f"Quentin {filler} quentin.b@mail.com {filler} QUENTIN") for k in range(4)]
+    rows += [(8, f"Zebulon {filler} 10.0.0.7 {filler}")]  # a value of one document
+    rows += [(10 + k, filler) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.report(pii.protected(frame)).toPandas().set_index("doc_id")
+    size, end = len(filler), len(rows[0][1])
+    assert got.loc[0, "spans"] == f"email:{size + 9}:{size + 27},term:0:7,term:{end - 7}:{end}"
+    assert got.loc[8, "spans"] == f"ip:{size + 9}:{size + 17},term:0:7"
+    assert got.loc[10:, "spans"].eq("").all()
+    texts = {r["row"]["doc_id"]: r["text"] for r in pii.sanitised(frame).collect()}
+    assert texts[0] == f" {filler} [EMAIL] {filler} " and texts[8] == f"[TERM] {filler} [IP] {filler}"
+
+
 @pytest.mark.parametrize("query", ["op2_hilbert_shards", "op10_pii"])
 def test_native_plans_have_no_python(spark, query):
     plan = queries.QUERIES[query](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
