@@ -16,6 +16,7 @@ from roadrisk.llm import decontaminate, jaccard, packing, pii, toxicity
 from roadrisk.llm.shared import table, written
 
 TOXIC = 0.5
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # of near duplicates
 
 
 def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,7 +36,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked ones."""
-    first = jaccard.groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    first = jaccard.groups(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 

@@ -481,3 +481,13 @@ def test_pipeline_stages(spark):
         assert (text != rows["decontamination"][doc]) == bool(found) and not any(f in text for f in found)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).toPandas()
     assert packed.groupby("doc_id").n_words.sum().to_dict() == {d: len((t or "").encode().split()) for d, t in rows["pii"].items()}
+
+
+def test_pipeline_takes_near_copies_of_five_words_and_four_fifths(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = [*words[:40], *(f"x{k}" for k in range(6)), *words[46:]]  # 5-word similarity 86 / 106
+    far = [*words[:30], *(f"y{k}" for k in range(9)), *words[39:]]  # 83 / 109
+    longer = [*words, *(f"z{k}" for k in range(20))]  # 96 / 116
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(longer))]
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3}
