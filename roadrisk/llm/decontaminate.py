@@ -106,7 +106,7 @@ class FMIndex:
         low = np.zeros(len(phrases), np.int64)
         high = np.full(len(phrases), self.size, np.int64)
         alive = np.arange(len(phrases))
-        known = len(self.before) - 2
+        known = len(self.before) - 3  # the largest symbol
         for k in range(phrases.shape[1] - 1, -1, -1):
             symbol = phrases[alive, k]
             fits = symbol <= known

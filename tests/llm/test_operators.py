@@ -325,6 +325,16 @@ def test_fm_index_finds_every_occurrence():
         assert sorted(index.locate(np.arange(a, b))) == want
 
 
+def test_fm_index_has_no_symbol_beyond_its_largest():
+    text = np.array([2, 3, 4, 5, 6, 7, 2, 1])
+    index = decontaminate.FMIndex(text, np.zeros(8, np.int64))
+    for phrases in ([[8]], [[7, 8]], [[8, 2]], [[9, 8]]):
+        low, high = index.search(np.array(phrases))
+        assert (low == high).all()
+    low, high = index.search(np.array([[6, 7]]))
+    assert index.locate(np.arange(low[0], high[0])).tolist() == [4]
+
+
 @pytest.mark.parametrize("block_bytes", [4_000_000, 30])
 def test_decontamination_edge_cases(spark, odd, none, items, block_bytes):
     found = decontaminate.search(odd, items, block_bytes=block_bytes)
