@@ -1,4 +1,4 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing against blocks of reference text.
+"""Removal of repeated passages by hashed windows, compared within blocks of reference text (no Lempel-Ziv parse).
 
 A word goes when it is covered by a window of 13 words that also starts in a document with a smaller id. A document is
 factored against reference text of smaller documents: a factor is a longest run of window starts that the reference
@@ -12,7 +12,7 @@ thus they meet; each anchor's phrases are factored in order of documents against
 are dealt to buckets whose number grows with the text.
 
 Factors meet once more per document, where they are merged and the other words kept. Windows are compared by a
-64-bit anchor and 32 further bits.
+64-bit anchor and a 64-bit hash of all their words.
 
 Defined cases: a null or empty text has no words; a document with a null id neither loses words nor is a reference;
 repeated rows of one id count as one document, and rows with equal id must have equal texts; other columns are not
@@ -33,7 +33,7 @@ WINDOW = 13
 ANCHOR = 5
 BUCKET_WINDOWS = 1_000_000
 
-PHRASE = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("window", "<u4")])
+PHRASE = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("window", "<u8")])
 FACTOR = np.dtype([("doc", "<i8"), ("start", "<i4"), ("count", "<i4")])
 
 
@@ -108,7 +108,7 @@ def _parsed(window: int, anchor: int, buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["bucket", "payload"])
             left = np.empty((~found).sum(), PHRASE)
             left["anchor"], left["doc"], left["at"] = least[~found], doc[~found], start[~found]
-            left["window"] = (hashed[~found] >> np.uint64(32)).astype(np.uint32)
+            left["window"] = hashed[~found]
             yield from _phrases(left, buckets)
 
     return parse
@@ -144,7 +144,7 @@ def _unpacked_phrases(payloads: list[bytes]) -> np.ndarray:
     for data in payloads:
         end = 4 + PACKED_PHRASE.itemsize * int(np.frombuffer(data, np.int32, 1)[0])
         heads.append(np.frombuffer(data[4:end], PACKED_PHRASE))
-        windows.append(np.frombuffer(data[end:], np.uint32))
+        windows.append(np.frombuffer(data[end:], np.uint64))
     head, count = np.concatenate(heads), np.concatenate(heads)["count"].astype(np.int64)
     out = np.empty(count.sum(), PHRASE)
     inside = np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)

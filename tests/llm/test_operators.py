@@ -10,6 +10,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -284,6 +285,20 @@ def test_substrings_equal_brute_force(spark, odd, none, monkeypatch):
     assert substrings.deduplicated(none).count() == 0
 
 
+def test_windows_of_one_anchor_differ_in_all_bits_of_their_hash():
+    left = np.empty(2, substrings.PHRASE)
+    left["anchor"], left["doc"], left["at"] = 5, [1, 2], 0
+    for hashes, copies in (([1 << 40, (1 << 40) + 1], 0), ([1, (1 << 40) + 1], 0), ([1 << 40, 1 << 40], 1)):
+        left["window"] = np.array(hashes, np.uint64)
+        payloads = [x for batch in substrings._phrases(left, 1) for x in batch.column(1).to_pylist()]
+        assert substrings._of_block(pa.table({"payload": payloads})).num_rows == copies
+    words = " ".join(f"w{k}" for k in range(13)).encode()
+    ids = substrings.WordIds()
+    sent = next(iter(substrings._parsed(13, 5, 1)([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [words.decode()]})])))
+    phrases = substrings._unpacked_phrases(sent.column(1).to_pylist())
+    assert phrases["window"].tolist() == substrings.windows_of(words, ids, 13, 5)[1].tolist()
+
+
 # --- 7 ----------------------------------------------------------------------------------------------
 
 
