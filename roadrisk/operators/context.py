@@ -1,8 +1,7 @@
 """Location context: crime, accidents, weather, traffic, demographics and their combination.
 
-Box joins are equi joins on grid cells: each box is spread over the cells it covers, each incident
-has one cell, and the exact box filter follows. An unusually full cell is an ordinary skewed join
-key, which the adaptive skew join splits.
+Counts in boxes come from a quadtree of totals (``operators/boxes.py``): whole cells inside a box give one row each, and only
+its border cells meet single points. Pairs of places and incidents are an equi join on grid cells with an exact filter.
 """
 
 from __future__ import annotations
@@ -19,12 +18,13 @@ from roadrisk.functions.geo import (
     latitude_delta,
     longitude_delta,
 )
+from roadrisk.operators import boxes as quadtree
 from roadrisk.operators.sequence import as_of, with_previous
 
 PLACE = ("latitude", "longitude")
 RECENT_DAYS = 30
 SEASON_DAYS = 90
-ROUTE_CELL_DEGREES = 0.1
+LONG_SEGMENT_DEGREES = 0.5
 ROUTE_SLOT_POINTS = 1000
 
 
@@ -79,24 +79,21 @@ def crime_in_box(
 ) -> DataFrame:
     """Incidents in the box around each place, the newest ones where a limit is given.
 
-    Incidents at exactly the same point are in or out of a box together, so keeping the newest per
-    point first is exact, and a point that holds very many incidents never reaches the join whole.
+    With a limit, a whole cell inside a box gives its newest incidents only, and so does an exact point
+    on the border, which is in or out of the box as one.
     """
     found = incidents.withColumnRenamed("latitude", "incident_lat").withColumnRenamed(
         "longitude", "incident_lon"
     )
-    newest_first = (F.col("date").desc(), F.col("incident_id").desc())
-    if newest is not None:
-        per_point = Window.partitionBy("incident_lat", "incident_lon").orderBy(*newest_first)
-        found = found.withColumn("_rank", F.row_number().over(per_point)).filter(F.col("_rank") <= newest)
-    pairs = _near(lookups, found, radius_miles).select(
-        *PLACE, "incident_id", "incident_type", "severity", "incident_lat", "incident_lon", "date"
-    )
+    columns = [*PLACE, "incident_id", "incident_type", "severity", "incident_lat", "incident_lon", "date"]
     if newest is None:
-        return pairs
+        return _near(lookups, found, radius_miles).select(*columns)
+    newest_first = (F.col("date").desc(), F.col("incident_id").desc())
+    pairs = quadtree.newest(boxes(lookups, radius_miles), found, "incident_lat", "incident_lon", newest_first, newest)
     per_place = Window.partitionBy(*PLACE).orderBy(*newest_first)
     return (
-        pairs.withColumn("_rank", F.row_number().over(per_place))
+        pairs.select(*columns)
+        .withColumn("_rank", F.row_number().over(per_place))
         .filter(F.col("_rank") <= newest)
         .drop("_rank")
     )
@@ -108,10 +105,7 @@ def crime_risk(
     as_of_time: str,
     radius_miles: float = 5.0,
 ) -> DataFrame:
-    """Crime scores of each place; a place without incidents gets 0.1 throughout.
-
-    Incidents are counted per exact point first, which is in or out of a box as one.
-    """
+    """Crime scores of each place; a place without incidents gets 0.1 throughout."""
 
     def counted(flag: Column) -> Column:
         return F.count(F.when(flag, 1))
@@ -126,7 +120,8 @@ def crime_risk(
         counted(age <= RECENT_DAYS).alias("recent"),
         F.count("*").alias("incidents"),
     )
-    counts = _near(lookups, per_point, radius_miles).groupBy(*PLACE).agg(*[F.sum(n).alias(n) for n in names])
+    inside = quadtree.sums(boxes(lookups, radius_miles), per_point, "incident_lat", "incident_lon", names)
+    counts = inside.groupBy(*PLACE).agg(*[F.sum(n).alias(n) for n in names])
 
     def score(name: str, full: float) -> Column:
         return F.when(F.col("incidents") > 0, scores.capped(F.col(name) / full)).otherwise(0.1)
@@ -204,18 +199,19 @@ def accidents_by_point(accidents: DataFrame, as_of_time: str, window_days: int =
 ACCIDENT_COUNTS = ("accidents", "minor", "major", "fatal", "unknown", "seasonal", "bad_weather")
 
 
+def _segment_side() -> Column:
+    """Cells along a segment: few for a short one, whose box holds few accidents."""
+    extent = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    return F.when(extent > LONG_SEGMENT_DEGREES, quadtree.SIDE).otherwise(2)
+
+
 def segment_accidents(
     segments: DataFrame, accidents: DataFrame, as_of_time: str, window_days: int = 365
 ) -> DataFrame:
     """Accident counts in the box of each segment that has any."""
     points = accidents_by_point(accidents, as_of_time, window_days)
     return (
-        _on_cells(segments, ROUTE_CELL_DEGREES)
-        .join(
-            _in_cell(points, "accident_lat", "accident_lon", ROUTE_CELL_DEGREES),
-            ["_cell_lat", "_cell_lon"],
-        )
-        .filter(_inside("accident_lat", "accident_lon"))
+        quadtree.sums(segments, points, "accident_lat", "accident_lon", ACCIDENT_COUNTS, side=_segment_side())
         .groupBy("route_id", "segment")
         .agg(*[F.sum(name).alias(name) for name in ACCIDENT_COUNTS])
     )
@@ -289,14 +285,10 @@ def accident_rows_on_routes(
         )
         .agg(F.count("*").alias("accidents"))
     )
+    kind = ("severity", "weather_conditions")
     return (
-        _on_cells(segments, ROUTE_CELL_DEGREES)
-        .join(
-            _in_cell(grouped, "accident_lat", "accident_lon", ROUTE_CELL_DEGREES),
-            ["_cell_lat", "_cell_lon"],
-        )
-        .filter(_inside("accident_lat", "accident_lon"))
-        .groupBy("route_id", "segment", "severity", "weather_conditions")
+        quadtree.sums(segments, grouped, "accident_lat", "accident_lon", ("accidents",), kind, _segment_side())
+        .groupBy("route_id", "segment", *kind)
         .agg(F.sum("accidents").alias("accidents"))
     )
 
