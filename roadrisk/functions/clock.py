@@ -24,6 +24,12 @@ def epoch_seconds(time: Column) -> Column:
     return (time - ntz("1970-01-01 00:00:00")).cast("interval second").cast("bigint")
 
 
+def epoch_micros(time: Column) -> Column:
+    """Microseconds since 1970."""
+    seconds = (time - ntz("1970-01-01 00:00:00")).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("bigint")
+
+
 def elapsed_whole_days(later: Column, earlier: Column) -> Column:
     """Complete 24-hour periods, rounded down also when negative."""
     return F.floor(seconds_between(later, earlier) / SECONDS_PER_DAY)

@@ -19,7 +19,7 @@ from roadrisk.functions.geo import (
     longitude_delta,
 )
 from roadrisk.operators import boxes as quadtree
-from roadrisk.operators.sequence import as_of, with_previous
+from roadrisk.operators.sequence import as_of_tables, not_older, with_previous
 
 PLACE = ("latitude", "longitude")
 RECENT_DAYS = 30
@@ -293,14 +293,8 @@ def accident_rows_on_routes(
     )
 
 
-def weather_at(
-    requests: DataFrame, observations: DataFrame, max_age_seconds: int | None = None
-) -> DataFrame:
-    """Weather score of each request from the latest observation of its station."""
-    found = as_of(
-        requests, observations, ("station_id",), "timestamp", "obs_ts", "obs_id", max_age_seconds
-    )
-    seen = F.col("observation")
+def _weather_scored(found: DataFrame) -> DataFrame:
+    seen = F.col("weather")
     score = scores.weather_risk(
         seen["conditions"], seen["visibility_miles"], seen["precipitation_inches"], seen["wind_speed_mph"]
     )
@@ -309,18 +303,12 @@ def weather_at(
         .withColumn("conditions", F.coalesce(seen["conditions"], F.lit("unknown")))
         .withColumn("weather_risk_score", F.when(seen.isNull(), 0.2).otherwise(score))
         .withColumn("weather_risk_level", scores.service_category(F.col("weather_risk_score")))
-        .drop("observation")
+        .drop("weather")
     )
 
 
-def traffic_at(
-    requests: DataFrame, observations: DataFrame, max_age_seconds: int | None = None
-) -> DataFrame:
-    """Congestion score of each request from the latest observation of its station."""
-    found = as_of(
-        requests, observations, ("station_id",), "timestamp", "obs_ts", "obs_id", max_age_seconds
-    )
-    seen = F.col("observation")
+def _traffic_scored(found: DataFrame) -> DataFrame:
+    seen = F.col("traffic")
     rush = clock.is_context_rush_hour(F.col("timestamp"))
     return (
         found.withColumn("traffic_obs_id", seen["obs_id"])
@@ -330,8 +318,40 @@ def traffic_at(
             scores.congestion_risk(seen["average_speed_mph"], seen["typical_speed_mph"], rush),
         )
         .withColumn("traffic_risk_level", scores.service_category(F.col("congestion_risk_score")))
-        .drop("observation")
+        .drop("traffic")
+    )
+
+
+def observed_at(
+    requests: DataFrame,
+    weather: DataFrame | None = None,
+    traffic: DataFrame | None = None,
+    weather_age_seconds: int | None = None,
+    traffic_age_seconds: int | None = None,
+) -> DataFrame:
+    """Weather and congestion scores of each request from the latest observations of its station, in one pass."""
+    sources = {"weather": (weather, weather_age_seconds, _weather_scored), "traffic": (traffic, traffic_age_seconds, _traffic_scored)}
+    given = {name: source for name, source in sources.items() if source[0] is not None}
+    found = as_of_tables(
+        requests, ("station_id",), "timestamp", {name: (rows, "obs_ts", "obs_id") for name, (rows, _, _) in given.items()}
     )
+    for name, (_, age, scored) in given.items():
+        found = scored(not_older(found, "timestamp", name, "obs_ts", age))
+    return found
+
+
+def weather_at(
+    requests: DataFrame, observations: DataFrame, max_age_seconds: int | None = None
+) -> DataFrame:
+    """Weather score of each request from the latest observation of its station."""
+    return observed_at(requests, weather=observations, weather_age_seconds=max_age_seconds)
+
+
+def traffic_at(
+    requests: DataFrame, observations: DataFrame, max_age_seconds: int | None = None
+) -> DataFrame:
+    """Congestion score of each request from the latest observation of its station."""
+    return observed_at(requests, traffic=observations, traffic_age_seconds=max_age_seconds)
 
 
 def demographic_factors(requests: DataFrame, census: DataFrame) -> DataFrame:
@@ -368,8 +388,7 @@ def combine(
 ) -> DataFrame:
     """Context score of each request; a source without a value counts with its default.
 
-    ``requests`` carry ``weather_risk_score`` and ``congestion_risk_score`` from ``weather_at`` and
-    ``traffic_at``; places and routes are joined here. Requests without a route take 0.5 for accidents
+    ``requests`` carry ``weather_risk_score`` and ``congestion_risk_score`` from ``observed_at``; places and routes are joined here. Requests without a route take 0.5 for accidents
     and a lower confidence.
     """
     joined = requests

@@ -14,9 +14,12 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from roadrisk.config import SLOT_SECONDS, STRETCH_ROWS
+from roadrisk.functions import clock
 from roadrisk.functions.clock import epoch_seconds, seconds_between
 
 SLOT = "_slot"
+LEAF_MICROS = 65_536  # time of a leaf, which holds one moment per microsecond at most
+LEAVES = 65_536  # of a block
 NO_TIME_SLOT = 2**62  # rows without a time come last
 
 
@@ -159,6 +162,67 @@ def rolling(
     )
 
 
+def as_of_tables(
+    requests: DataFrame,
+    keys: Sequence[str],
+    request_time: str,
+    tables: Mapping[str, tuple[DataFrame, str, str]],
+    leaf_micros: int = LEAF_MICROS,
+) -> DataFrame:
+    """Add a struct column for each entry of ``tables`` (rows, time, tie): its latest row at or before the request, the
+    one with the largest tie among equal times, null if there is none.
+
+    All tables are answered in one pass over distinct (key, time), since requests of one moment have one answer: rows of a
+    moment are merged before they are shuffled. Moments are cut into leaves, which hold one row per microsecond at most, leaves
+    into blocks of LEAVES; the latest rows are carried over leaves inside a block and over blocks of a key. No step thus gathers a
+    busy key, hour or second. A request without a key or time has no observation.
+    """
+    kinds = {}
+    for name, (rows, _, tie) in tables.items():
+        payload = rows.select(F.struct(*[c for c in rows.columns if c not in keys]).alias("p"), F.struct(tie).alias("t"))
+        kinds[name] = tuple(payload.schema[c].dataType for c in "pt")
+
+    def known(df: DataFrame, time: str) -> DataFrame:
+        return df.dropna(subset=[*keys, time]).withColumn("_at", clock.epoch_micros(F.col(time)))
+
+    parts = known(requests, request_time).select(
+        *keys, "_at", *[F.lit(None).cast(kind).alias(f"_{k}{name}") for name, pair in kinds.items() for k, kind in zip("pt", pair, strict=True)]
+    )
+    for name, (rows, time, tie) in tables.items():
+        payload = {"p": F.struct(*[c for c in rows.columns if c not in keys]), "t": F.struct(tie)}
+        values = [
+            (payload[k] if other == name else F.lit(None).cast(kind)).alias(f"_{k}{other}")
+            for other, pair in kinds.items()
+            for k, kind in zip("pt", pair, strict=True)
+        ]
+        parts = parts.unionByName(known(rows, time).select(*keys, "_at", *values))
+    seen = [f"_p{name}" for name in tables]
+    moments = (
+        parts.groupBy(*keys, "_at")
+        .agg(*[F.max_by(f"_p{name}", f"_t{name}").alias(f"_p{name}") for name in tables])
+        .withColumn("_leaf", F.floor(F.col("_at") / F.lit(leaf_micros)))
+    )
+
+    def last(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+        known_at = {name: F.when(F.col(name).isNotNull(), F.col(order)) for name in seen}
+        return df.groupBy(*by).agg(*[F.max_by(name, known_at[name]).alias(name) for name in seen])
+
+    def carried(df: DataFrame, by: Sequence[str], order: str, prefix: str) -> DataFrame:
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({prefix + name: F.last(name, ignorenulls=True).over(before) for name in seen})
+
+    leaves = last(moments, [*keys, "_leaf"], "_at").withColumn("_block", F.floor(F.col("_leaf") / LEAVES))
+    blocks = carried(last(leaves, [*keys, "_block"], "_leaf"), keys, "_block", "_b").drop(*seen)
+    leaves = carried(leaves, [*keys, "_block"], "_leaf", "_l").join(blocks, [*keys, "_block"])
+    leaves = leaves.select(*keys, "_leaf", *[F.coalesce(f"_l{name}", f"_b{name}").alias(f"_c{name}") for name in seen])
+    upto = Window.partitionBy(*keys, "_leaf").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    answers = moments.join(leaves, [*keys, "_leaf"]).select(
+        *keys, "_at", *[F.coalesce(F.last(f"_p{name}", ignorenulls=True).over(upto), F.col(f"_c_p{name}")).alias(name) for name in tables]
+    )
+    asked = requests.withColumn("_at", clock.epoch_micros(F.col(request_time)))
+    return asked.join(answers, [*keys, "_at"], "left").select(*requests.columns, *tables)
+
+
 def as_of(
     requests: DataFrame,
     observations: DataFrame,
@@ -167,53 +231,22 @@ def as_of(
     observation_time: str,
     observation_tie: str,
     max_age_seconds: int | None = None,
-    slot_seconds: int = SLOT_SECONDS,
+    slot_seconds: float = LEAF_MICROS / 1e6,
 ) -> DataFrame:
     """Add ``observation``: the latest observation row at or before the request, null if none."""
-    payload = F.struct(*[F.col(name) for name in observations.columns if name not in keys])
-    question = requests.select(F.struct(*requests.columns).alias("row")).schema["row"].dataType
-    seen = observations.select(
-        *keys,
-        F.col(observation_time).alias("_time"),
-        F.lit(0).alias("_kind"),
-        F.col(observation_tie).alias("_tie"),
-        payload.alias("_seen"),
-        F.lit(None).cast(question).alias("_asked"),
-    ).filter(F.col("_time").isNotNull())
-    asked = requests.select(
-        *keys,
-        F.col(request_time).alias("_time"),
-        F.lit(1).alias("_kind"),
-        F.lit(None).cast(observations.schema[observation_tie].dataType).alias("_tie"),
-        F.lit(None).cast(seen.schema["_seen"].dataType).alias("_seen"),
-        F.struct(*requests.columns).alias("_asked"),
-    )
-    both = seen.unionByName(asked).withColumn(SLOT, time_slot("_time", slot_seconds))
-    in_slot = (
-        Window.partitionBy(*keys, SLOT)
-        .orderBy("_time", "_kind", "_tie")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    earlier = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
-    latest_in_slot = F.max_by("_seen", F.when(F.col("_kind") == 0, F.struct("_time", "_tie")))
-    carried = (
-        both.groupBy(*keys, SLOT)
-        .agg(latest_in_slot.alias("_tail"))
-        .select(*keys, SLOT, F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"))
-    )
-    found = F.coalesce(F.last("_seen", ignorenulls=True).over(in_slot), F.col("_carried"))
-    matched = (
-        both.join(carried, [*keys, SLOT], "left")
-        .withColumn("observation", found)
-        .filter(F.col("_kind") == 1)
-        .select("_asked.*", "observation")
-    )
+    tables = {"observation": (observations, observation_time, observation_tie)}
+    matched = as_of_tables(requests, keys, request_time, tables, round(slot_seconds * 1e6))
+    return not_older(matched, request_time, "observation", observation_time, max_age_seconds)
+
+
+def not_older(
+    matched: DataFrame, request_time: str, name: str, observation_time: str, max_age_seconds: int | None
+) -> DataFrame:
+    """Observations beyond an age become null."""
     if max_age_seconds is None:
         return matched
-    age = seconds_between(F.col(request_time), F.col(f"observation.{observation_time}"))
-    return matched.withColumn(
-        "observation", F.when(age <= max_age_seconds, F.col("observation"))
-    )
+    age = seconds_between(F.col(request_time), F.col(f"{name}.{observation_time}"))
+    return matched.withColumn(name, F.when(age <= max_age_seconds, F.col(name)))
 
 
 def numbered(df: DataFrame, key: str, name: str = "row_index") -> DataFrame:

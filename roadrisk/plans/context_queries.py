@@ -302,7 +302,7 @@ JOIN t_weather w USING (request_id) JOIN t_traffic t USING (request_id) LEFT JOI
 
 
 def combined(i: Inputs) -> DataFrame:
-    observed = context.traffic_at(weather(i), i.traffic_obs)
+    observed = context.observed_at(i.context_requests, i.weather_obs, i.traffic_obs, WEATHER_AGE)
     routes = context.accident_risk(i.route_points, i.traffic_accidents, AS_OF_EXTERNAL)
     return context.combine(observed, crime(i), routes)
 

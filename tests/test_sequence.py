@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from roadrisk.functions import clock
 from roadrisk.operators import sequence
 from tests.conftest import plain_rows
 
@@ -162,3 +163,51 @@ def test_one_busy_key_is_spread_over_tasks(spark):
         assert frames.agg(F.sum("position")).first()[0] == 20_000 * 20_001 // 2
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("leaf", [1_000, 65_536, 10**8])
+def test_as_of_several_tables_in_one_pass(spark, leaf):
+    """Two tables at once, with equal times, missing keys and times, against brute force."""
+    rng = random.Random(leaf)
+
+    def moment():
+        return None if rng.random() < 0.03 else START + timedelta(days=rng.choice([0, 0, 0, 40, -30_000]), microseconds=rng.choice([0, 1, 5, 10**6, rng.randrange(10**10)]))
+
+    def rows(n):
+        return [(k if rng.random() < 0.9 else None, rng.choice(["a", "a", "b", None]), moment(), rng.random()) for k in range(n)]
+
+    asked, first, second = rows(300), rows(200), rows(60)
+    asked = [(k, *r[1:]) for k, r in enumerate(asked)]
+    tables = {}
+    for name, data in (("first", first), ("second", second)):
+        df = spark.createDataFrame(data, "obs long, key string, seen_at timestamp_ntz, value double")
+        tables[name] = (df, "seen_at", "obs")
+    got = sequence.as_of_tables(
+        spark.createDataFrame(asked, "id long, key string, at timestamp_ntz, first_value double"), ["key"], "at", tables, leaf
+    ).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        for name, data in (("first", first), ("second", second)):
+            fits = [x for x in data if x[1] is not None and x[2] is not None and r["key"] == x[1] and r["at"] is not None and x[2] <= r["at"]]
+            best = max(fits, key=lambda x: (x[2], x[0] is not None, x[0] or 0), default=None)
+            assert (best is None) == (r[name] is None)
+            if best is not None:
+                assert (r[name]["seen_at"], r[name]["obs"]) == (best[2], best[0])
+
+
+def test_a_burst_of_one_second_is_spread_over_tasks(spark):
+    """All requests and observations of one station in one second: no task gets most of them at any step."""
+    rows = spark.range(20_000).selectExpr(
+        "id", "'a' AS key", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 0.00005) AS at"
+    )
+    seen = rows.filter("id % 3 = 0").selectExpr("id AS obs", "key", "at AS seen_at")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = sequence.as_of_tables(rows, ["key"], "at", {"seen": (seen, "seen_at", "obs")})
+        sizes = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(sizes) > 2 and max(r["count"] for r in sizes) < 12_000
+        assert found.filter("seen.obs <> id - id % 3 OR seen IS NULL").isEmpty()
+        leaves = rows.groupBy(F.floor(clock.epoch_micros(F.col("at")) / sequence.LEAF_MICROS)).count().collect()
+        assert len(leaves) >= 15 and max(r["count"] for r in leaves) <= 1311
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
