@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.001
+CELLS = 4096  # of a histogram
+ROUNDS = 2
 AUC_CUTS = 255
 
 
@@ -16,12 +18,17 @@ def _usable(name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def _same(wanted: Column) -> Callable[[Column], Column]:
+    return lambda target: (target["name"] == wanted["name"]) & (target["cell"] == wanted["cell"])
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with the exact midpoint median of every column, nulls and NaN left out.
 
-    A sketch, whose rank error is bounded, brackets each median between two values. Only values in
-    the bracket (about 0.2 % of the rows) are then counted by distinct value and ranked, so the
-    full set of values never meets in one task as it does in an exact percentile.
+    Two scans: a sketch, whose rank error is bounded, brackets each median between two values; then the rows are counted by
+    column and, inside the bracket (about 0.2 % of the rows), by value. Histograms over these counts narrow the bracket
+    to the cell that holds the wanted rank, ``CELLS`` times in each round, for all columns together. What is ordered is
+    a histogram of at most ``CELLS`` rows and, at the end, the distinct values of one cell.
     """
     values = df.select(*[_usable(name).alias(name) for name in columns])
     points = F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET))
@@ -30,51 +37,59 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             *[F.percentile_approx(name, points, SKETCH_ACCURACY).alias(name) for name in columns]
         ).alias("b")
     ).scalar()
-    bracketed = values.withColumn("_b", brackets)
-    below = bracketed.agg(
-        F.struct(
-            *[
-                F.struct(
-                    F.count(name).alias("rows"),
-                    F.count_if(F.col(name) < F.col("_b")[name][0]).alias("below"),
-                ).alias(name)
-                for name in columns
-            ]
-        ).alias("c")
-    ).scalar()
-    inside = (
-        bracketed.select(
-            F.explode(
-                F.array(
-                    *[
-                        F.when(
-                            F.col(name).between(F.col("_b")[name][0], F.col("_b")[name][1]),
-                            F.struct(F.lit(name).alias("name"), F.col(name).alias("value")),
-                        )
-                        for name in columns
-                    ]
-                )
-            ).alias("entry")
+
+    def entry(name: str) -> Column:
+        value, low, high = F.col(name), F.col("_b")[name][0], F.col("_b")[name][1]
+        place = F.when(value < low, -1).when(value > high, 1).otherwise(0)
+        inside = F.when(place == 0, value)
+        share = F.when(high > low, (inside - low) / (high - low))
+        share = F.when(share.between(0.0, 1.0), share).otherwise(F.when(place == 0, 0.0))  # infinite bounds have no shares
+        return F.when(
+            value.isNotNull(), F.struct(F.lit(name).alias("name"), place.alias("place"), inside.alias("value"), share.alias("share"))
         )
-        .filter(F.col("entry").isNotNull())
-        .groupBy(F.col("entry.name").alias("name"), F.col("entry.value").alias("value"))
+
+    counted = (
+        values.withColumn("_b", brackets)
+        .select(F.explode(F.array(*[entry(name) for name in columns])).alias("e"))
+        .filter("e IS NOT NULL")
+        .groupBy("e.name", "e.place", "e.value", "e.share")
         .agg(F.count("*").alias("n"))
     )
-    order = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("upto", F.sum("n").over(order)).withColumn("_c", below)
+    wanted = F.array_distinct(F.array(F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)))
+    targets = (
+        counted.groupBy("name")
+        .agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("place") < 0, F.col("n")).otherwise(0)).alias("before"))
+        .select("name", F.explode(wanted).alias("rank"), "before", F.lit(0).cast("long").alias("cell"))
+    )
 
-    def at(name: str, rank: Column) -> Column:
-        start = F.col("_c")[name]["below"]
-        hit = (F.col("name") == name) & (start + F.col("upto") - F.col("n") <= rank) & (
-            rank < start + F.col("upto")
+    def cell(round_: int) -> Column:
+        count = float(CELLS**round_)
+        return F.when(F.col("share") < 1.0, F.floor(F.col("share") * count)).when(F.col("share") == 1.0, F.lit(int(count) - 1))
+
+    def narrowed(found: DataFrame, order: str) -> DataFrame:
+        """The group that holds the wanted rank, with the rows before it."""
+        upto = F.sum("n").over(Window.partitionBy("name", "rank").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        return (
+            found.withColumn("before", F.col("before") + upto - F.col("n"))
+            .filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+            .drop("n")
         )
-        return F.max(F.when(hit, F.col("value")))
+
+    for round_ in range(1, ROUNDS + 2):
+        one_row = targets.agg(F.collect_list(F.struct("name", "rank", "before", "cell"))).scalar()
+        in_cell = F.struct("name", cell(round_ - 1).alias("cell"))
+        hits = F.filter("_t", _same(in_cell))
+        rows = counted.withColumn("_t", one_row).withColumn("_hit", F.explode(hits))
+        last = round_ > ROUNDS
+        order = F.col("value") if last else cell(round_)
+        grouped = rows.groupBy("name", F.col("_hit.rank").alias("rank"), F.col("_hit.before").alias("before"), order.alias("cell"))
+        targets = narrowed(grouped.agg(F.sum("n").alias("n")), "cell")
 
     def median(name: str) -> Column:
-        rows = F.col("_c")[name]["rows"]
-        return ((at(name, F.floor((rows - 1) / 2)) + at(name, F.floor(rows / 2))) / 2).alias(name)
+        value = F.when(F.col("name") == name, F.col("cell"))
+        return ((F.min(value) + F.max(value)) / 2).alias(name)
 
-    return ranked.agg(*[median(name) for name in columns])
+    return targets.agg(*[median(name) for name in columns])
 
 
 def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

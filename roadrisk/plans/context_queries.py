@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from roadrisk.functions import clock, scores as s
-from roadrisk.operators import context
+from roadrisk.operators import context, lookups
 from roadrisk.plans.registry import query, shared
 from roadrisk.plans.relations import AS_OF_EXTERNAL, Inputs
 from roadrisk.plans.trip_queries import miles
 
 NEWEST = 500  # of a place, in the top list only; small enough to take effect on small data
 WEATHER_AGE = 6 * 3600
+LOOKUP_HOURS = 24
 
 shared("t_places", "SELECT DISTINCT latitude, longitude FROM context_requests")
 shared(
@@ -136,6 +137,23 @@ def _(i):
     return i.context_requests.join(crime(i), [*context.PLACE])
 
 
+@query(
+    "set_lookups_answered",
+    keep="request_id answered_by answered_at fetched",
+    nums="latitude longitude",
+    sql=f"""SELECT r.*, f.request_id AS answered_by, f.timestamp AS answered_at, f.request_id = r.request_id AS fetched FROM context_requests r ASOF JOIN (
+  WITH RECURSIVE a AS (SELECT latitude, longitude, min(timestamp) AS timestamp FROM context_requests GROUP BY latitude, longitude
+    UNION ALL SELECT n.latitude, n.longitude, min(n.timestamp) FROM a JOIN context_requests n ON n.latitude = a.latitude AND n.longitude = a.longitude
+      AND n.timestamp >= a.timestamp + INTERVAL {LOOKUP_HOURS} HOUR GROUP BY n.latitude, n.longitude)
+  SELECT a.latitude, a.longitude, a.timestamp, min(c.request_id) AS request_id FROM a
+  JOIN context_requests c ON c.latitude = a.latitude AND c.longitude = a.longitude AND c.timestamp = a.timestamp GROUP BY a.latitude, a.longitude, a.timestamp
+) f ON f.latitude = r.latitude AND f.longitude = r.longitude AND f.timestamp <= r.timestamp""",
+)
+def _(i):
+    found = lookups.answered(i.context_requests, context.PLACE, "timestamp", "request_id", LOOKUP_HOURS)
+    return found.withColumn("fetched", F.col("answered_by") == F.col("request_id"))
+
+
 @query(
     "fn_bbox",
     keep="request_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -24,6 +25,32 @@ def test_medians_are_exact(spark, size):
         assert got[name] == np.median(column)
 
 
+@pytest.mark.parametrize("kind", ["cluster", "infinite", "tiny", "constant"])
+def test_medians_of_uneven_columns(spark, kind):
+    """Values that crowd in a small part of the bracket, and bounds that are infinite or next to each other."""
+    rng = random.Random(kind)
+    make = {
+        "cluster": lambda k: 1e12 if k % 3 == 0 else (-1e12 if k % 3 == 1 else rng.random() * 1e-9),
+        "infinite": lambda k: math.inf if k % 2 else -math.inf,
+        "tiny": lambda k: 5e-324 * rng.randint(0, 4),
+        "constant": lambda k: -0.25,
+    }[kind]
+    rows = [(make(k), rng.gauss(0, 1)) for k in range(4001 if kind != "infinite" else 4003)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(4)
+    got = stats.exact_medians(df, ["a", "b"]).first()
+    assert got["a"] == sorted(r[0] for r in rows)[len(rows) // 2]
+    assert got["b"] == np.median([r[1] for r in rows])
+
+
+def test_medians_take_two_scans_and_order_no_whole_column(spark):
+    df = spark.range(1000).selectExpr("CAST(id % 97 AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS b")
+    medians = stats.exact_medians(df, ["a", "b"])
+    assert tuple(medians.first()) == (np.median([k % 97 for k in range(1000)]), 499.5)
+    plan = medians._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("[name" in line and "rank" in line for line in windows)
+
+
 def test_imputing(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (4.0, None)], "a double, b double")
     assert sorted(tuple(r) for r in stats.impute_medians(df, ["a", "b"]).collect()) == [(1.0, 0.0), (2.5, 0.0), (4.0, 0.0)]
