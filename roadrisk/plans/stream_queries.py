@@ -16,7 +16,7 @@ from roadrisk.plans.trip_queries import DOUBLE_FEATURES, INTEGER_FEATURES, drive
 from roadrisk.sources.scratch import new_folder
 from roadrisk.streaming import jobs
 from roadrisk.streaming.history import with_history
-from roadrisk.streaming.sources import file_stream, without_repeats
+from roadrisk.streaming.sources import file_stream
 
 INGESTED = "2024-02-01 10:30:00"
 
@@ -25,8 +25,7 @@ def streamed(i: Inputs, name: str) -> DataFrame:
     """A relation over the event table, as a stream."""
     # as a glob the table may be one file or a folder of files
     events = file_stream(i.spark, f"{i.folder}/{{events.parquet}}", i.table("events").schema, pattern=None)
-    events.createOrReplaceTempView("events_arriving")
-    return i.spark.sql(re.sub(r"\bFROM events\b", "FROM events_arriving", spark_text(name)))
+    return relation_of(i, events, name)
 
 
 def finished(i: Inputs, start, name: str) -> str:
@@ -41,6 +40,26 @@ def stored(i: Inputs, stream: DataFrame, name: str) -> DataFrame:
     return i.spark.read.schema(stream.schema).parquet(folder)  # also where no row came
 
 
+PARTS = 4
+
+
+def unordered(i: Inputs, name: str, run, copies: int = 1) -> str:
+    """Run a job over the event table in PARTS files that each hold events of the whole time span, so that most rows of the
+    later ones are late, started again for every file; every event is in ``copies`` files. Gives the output folder."""
+    source, folder, checkpoint = (new_folder(i.spark, f"{name}{part}") for part in ("-source", "", "-state"))
+    events = i.table("events")
+    for part in range(PARTS):
+        events.filter((F.col("event_id") + part) % PARTS < copies).write.mode("append").parquet(source)
+        arriving = file_stream(i.spark, source, events.schema)
+        run(relation_of(i, arriving, name), folder, checkpoint).awaitTermination()
+    return folder
+
+
+def relation_of(i: Inputs, events: DataFrame, name: str) -> DataFrame:
+    events.createOrReplaceTempView("events_arriving")
+    return i.spark.sql(re.sub(r"\bFROM events\b", "FROM events_arriving", spark_text(name)))
+
+
 @query(
     "src_event_stream",
     keep="event_id driver_id trip_id timestamp",
@@ -97,9 +116,14 @@ def _(i):
     sql="SELECT *, driver_id AS key FROM t_alerts",
 )
 def _(i):
-    folder = finished(i, lambda out, state: jobs.publish_alerts(histories(i), out, state), "alert-topic")
+    topic = new_folder(i.spark, "alert-topic")
+
+    def send(messages: DataFrame, number: int) -> None:  # in place of a broker
+        messages.write.mode("overwrite").parquet(f"{topic}/{jobs.BATCH}={number}")
+
+    finished(i, lambda out, state: jobs.publish_to_topic(histories(i), out, state, send), "alert-outbox")
     record = "event_id bigint, driver_id string, severity string, risk_score double"
-    messages = i.spark.read.schema("key string, value string").parquet(folder)
+    messages = i.spark.read.schema("key string, value string").parquet(f"{topic}/{jobs.BATCH}=*")
     return messages.select("key", F.from_json("value", record).alias("r")).select("key", "r.*")
 
 
@@ -169,16 +193,14 @@ def streamed_points(i: Inputs) -> DataFrame:
 FROM api_usage GROUP BY 1, 2""",
 )
 def _(i):
-    folder = finished(
-        i, lambda out, state: jobs.count_requests(streamed(i, "api_usage"), out, state, limit=3), "rates"
-    )
-    return jobs.newest_per_key(jobs.read_batches(i.spark, folder), ("window_start", "client_id"))
+    folder = unordered(i, "api_usage", jobs.merge_request_counts)
+    return jobs.request_counts(i.spark, folder, limit=3)
 
 
 @query("str_dedup_late", keep="event_id driver_id", sql="SELECT event_id, driver_id FROM telematics_events")
 def _(i):
-    twice = streamed(i, "telematics_events").unionByName(streamed(i, "telematics_events"))
-    return stored(i, without_repeats(twice), "dedup")
+    folder = unordered(i, "telematics_events", jobs.land_once, copies=2)
+    return jobs.read_landed(i.spark, folder, i.telematics_events.schema)
 
 
 shared("t_upload_trips", trip_sql("t_upload_points", "upload_id, driver_id, trip_id"))

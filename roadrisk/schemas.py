@@ -73,3 +73,15 @@ PREMIUMS = _schema(
     final_premium=T.DoubleType(),
     calculation_date=T.StringType(),
 )
+
+LATEST_RISK = _schema(
+    driver_id=T.StringType(),
+    trip_id=T.StringType(),
+    timestamp=T.TimestampNTZType(),
+    event_id=T.LongType(),
+    risk_score=T.DoubleType(),
+    risk_events=T.ArrayType(T.StringType()),
+    immediate_alerts=T.ArrayType(T.StringType()),
+)
+
+REQUEST_COUNTS = _schema(window_start=T.TimestampNTZType(), client_id=T.LongType(), requests=T.LongType())
