@@ -21,6 +21,7 @@ language without kept terms take part with value 0; an empty table gives no rows
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,9 @@ LEAST_DOCUMENTS = 3  # of a kept term
 TOP_TERMS = 200
 GROUPS = 64  # of a group block, about
 TERMS = 2048  # of a term block, about
-HELD_TERMS = 300_000  # counters of a task before they are sent on
+HELD_TERMS = 500_000  # counters of a task before they are sent on
+HELD_DOCUMENTS = 1 << 22  # documents in the counters, at most
+DOCUMENT = 1 << 40  # one document in a counter; occurrences stay below it
 
 LETTER_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -48,20 +51,20 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial rows (lang, source, term, n, docs); one with a null term for each group that occurs."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-    size = 0
+    """Partial rows (lang, source, term, n, docs)."""
+    held: dict[tuple[str, str], dict[bytes, int]] = {}  # occurrences, and documents above DOCUMENT
+    size = seen = 0
 
     def rows():
         for (lang, source), counts in held.items():
-            number = len(counts)
+            packed = np.fromiter(counts.values(), np.int64, len(counts))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * (number + 1), pa.string()),
-                    pa.array([source] * (number + 1), pa.string()),
-                    pa.array([None, *counts], pa.binary()).cast(pa.string()),
-                    pa.array([0, *(x[0] for x in counts.values())], pa.int64()),
-                    pa.array([0, *(x[1] for x in counts.values())], pa.int64()),
+                    pa.array([lang] * len(counts), pa.string()),
+                    pa.array([source] * len(counts), pa.string()),
+                    pa.array(list(counts), pa.binary()).cast(pa.string()),
+                    pa.array(packed % DOCUMENT, pa.int64()),
+                    pa.array(packed // DOCUMENT, pa.int64()),
                 ],
                 ["lang", "source", "term", "n", "docs"],
             )
@@ -70,31 +73,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, sources = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "source"))
         for lang, source, text in zip(langs, sources, texts, strict=True):
             counts = held.setdefault((lang, source), {})
-            words, before = terms_of(text), len(counts)
-            for word in words:
-                if (entry := counts.get(word)) is None:
-                    counts[word] = [1, 0]
-                else:
-                    entry[0] += 1
-            for word in set(words):
-                counts[word][1] += 1
-            size += len(counts) - before + 1
-            if size > HELD_TERMS:
+            before = len(counts)
+            for word, n in Counter(terms_of(text)).items():
+                counts[word] = counts.get(word, 0) + n + DOCUMENT
+            size, seen = size + len(counts) - before, seen + 1
+            if size > HELD_TERMS or seen >= HELD_DOCUMENTS:
                 yield from rows()
                 held.clear()
-                size = 0
+                size = seen = 0
     yield from rows()
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) of every term of each group, and a row with a null term for each group. Rows of a
-    (language, term) lie in one partition."""
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")]
-    parts = with_small_batches(docs).select(*texts).mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    groups = parts.filter("term is null").select("lang", "source").distinct()
-    sums = parts.filter("term is not null").repartition("lang", "term")
-    sums = sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    return written(sums.unionByName(groups.select("*", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("docs"))))
+def documents(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
+
+
+def kept_counts(docs: DataFrame, least: int) -> DataFrame:
+    """(lang, source, term, n) of the kept terms, with all_n, the occurrences in the language, and first, whether the row
+    is the first one of its term. One shuffle, of the counts of tasks."""
+    parts = with_small_batches(docs).mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    sums = parts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    per_term = Window.partitionBy("lang", "term")
+    sums = sums.select(
+        "lang", "source", "term", "n", F.sum("docs").over(per_term).alias("docs"), F.sum("n").over(per_term).alias("all_n"),
+        (F.row_number().over(per_term.orderBy("source")) == 1).alias("first"),
+    )
+    return written(sums.filter(F.col("docs") >= least).drop("docs"))
 
 
 def share(count: Column, occurrences: Column, terms: Column) -> Column:
@@ -127,27 +131,24 @@ def _partial(groups: list[str], others: list[str], p: np.ndarray, q: np.ndarray,
 
 def _cell(table: pa.Table) -> pa.Table:
     """Partial divergences between the groups of two blocks over one block of terms."""
-    row = {c: table.column(c).to_pylist() for c in ("lang", "i", "j", "t", "block", "source", "term", "p", "terms")}
-    lang, i, j, t = (row[c][0] for c in ("lang", "i", "j", "t"))
-    places: dict[str, int] = {}
-    names: dict[int, dict[str, int]] = {i: {}, j: {}}
-    rest: dict[int, list[int]] = {i: [], j: []}
-    total = 0
-    for block, source, term, p, terms in zip(row["block"], row["source"], row["term"], row["p"], row["terms"], strict=True):
-        if term is None:
-            names[block][source] = len(names[block])
-            rest[block].append(p)
-            total = terms
-        else:
-            places.setdefault(term, len(places))
-    absent = {block: np.array(values, np.int64) for block, values in rest.items()}
-    shares = {block: np.repeat(values[:, None], len(places), axis=1) for block, values in absent.items()}
-    for block, source, term, p in zip(row["block"], row["source"], row["term"], row["p"], strict=True):
-        if term is not None:
-            shares[block][names[block][source], places[term]] = p
+    lang, i, j, t = (table.column(c)[0].as_py() for c in ("lang", "i", "j", "t"))
+    block, p, total = (table.column(c).to_numpy() for c in ("block", "p", "terms"))
+    named, words = (pa.concat_arrays(table.column(c).chunks).dictionary_encode() for c in ("source", "term"))
+    source = named.indices.to_numpy()
+    is_term = words.is_valid().to_numpy(zero_copy_only=False)
+    term = words.indices.fill_null(0).to_numpy()
+    names, place = named.dictionary.to_pylist(), np.zeros(len(named.dictionary), np.int64)
+    groups, absent, shares = {}, {}, {}
+    for own in {i, j}:
+        rows = np.flatnonzero(~is_term & (block == own))
+        groups[own], absent[own] = [names[k] for k in source[rows]], p[rows]
+        place[source[rows]] = np.arange(len(rows))
+        shares[own] = np.repeat(absent[own][:, None], len(words.dictionary), axis=1)
+        rows = np.flatnonzero(is_term & (block == own))
+        shares[own][place[source[rows]], term[rows]] = p[rows]
     found: list[tuple] = []
     for a, b in {(i, j), (j, i)}:
-        found += _partial(list(names[a]), list(names[b]), shares[a], shares[b], absent[a], absent[b], total if t == 0 else None)
+        found += _partial(groups[a], groups[b], shares[a], shares[b], absent[a], absent[b], int(total[0]) if t == 0 else None)
     columns = list(zip(*found, strict=True)) if found else [(), (), ()]
     return pa.table({
         "lang": pa.array([lang] * len(found), pa.string()),
@@ -160,16 +161,10 @@ def _cell(table: pa.Table) -> pa.Table:
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, groups_each: int = GROUPS, terms_each: int = TERMS) -> DataFrame:
     """lang, source, part, item, value, rank: the divergence of each source from each other one of its language (``pair``), and
     the ``top`` terms by which it exceeds its language (``term``)."""
-    all_counts = counts(docs)
-    per_term = Window.partitionBy("lang", "term")
-    kept = all_counts.filter("term is not null").select(
-        "lang", "source", "term", "n", F.sum("docs").over(per_term).alias("docs"), F.sum("n").over(per_term).alias("all_n"),
-        F.row_number().over(per_term.orderBy("source")).alias("nth"),
-    )
-    kept = written(kept.filter(F.col("docs") >= least).drop("docs"))
-
-    langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).alias("v"))
-    groups = all_counts.filter("term is null").select("lang", "source")
+    docs = documents(docs)
+    kept = kept_counts(docs, least)
+    langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count_if("first").alias("v"))
+    groups = docs.select("lang", "source").distinct()
     sizes = groups.groupBy("lang").agg(F.count("*").alias("members"))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     groups = groups.join(sizes, "lang").join(langs, "lang", "left").join(own, ["lang", "source"], "left").na.fill(0, ["v", "lang_n", "group_n"])
