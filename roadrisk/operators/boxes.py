@@ -14,108 +14,111 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-COARSEST, FINEST = -9, 24  # levels
+ALL_LEVELS = range(-9, 25)
 SIDE = 32
 CELL = ("_at", "_i", "_j")  # level and place of a cell
 BORDER = -1
+WHOLE_FROM = 4  # side from which whole cells are looked for
 
 
-def _power(exponent: Column) -> Column:
-    return F.pow(F.lit(2.0), exponent)
-
-
-def with_levels(boxes: DataFrame, side: Column | int = SIDE) -> DataFrame:
-    """Add ``_level``, at which the box is at most ``side`` cells wide, and ``_depth``, the coarser levels that it may use."""
-    clipped = boxes.withColumns({
+def with_levels(boxes: DataFrame, side: Column | int = SIDE, ladder: range = ALL_LEVELS) -> DataFrame:
+    """Add ``_level``, the finest one of ``ladder`` at which the box is at most ``side`` cells wide, and ``_depth``, the coarser
+    levels that it may use."""
+    clipped = {
         "_south": F.greatest("south", F.lit(-90.0)), "_north": F.least("north", F.lit(90.0)),
         "_west": F.greatest("west", F.lit(-180.0)), "_east": F.least("east", F.lit(180.0)),
-    })
-    wide = F.greatest(F.col("_north") - F.col("_south"), F.col("_east") - F.col("_west"))
-    cells = F.lit(side) if isinstance(side, int) else side
-    fitting = F.when(wide > cells * 2.0**-FINEST, F.floor(F.log2(cells / wide))).otherwise(FINEST)
-    depth = F.greatest(F.floor(F.log2(cells.cast("double"))).cast("int") - 1, F.lit(0))
-    return clipped.filter("_south <= _north AND _west <= _east").withColumns({
-        "_level": F.greatest(F.least(fitting, F.lit(FINEST)), F.lit(COARSEST)).cast("int"), "_depth": depth,
+        "_side": F.lit(side).cast("double") if isinstance(side, int) else side.cast("double"),
+    }
+    wide = "greatest(_north - _south, _east - _west)"
+    finest = ladder[-1]
+    fitting = f"CASE WHEN {wide} > _side * {2.0**-finest!r}D THEN floor(log2(_side / {wide})) ELSE {finest} END"
+    on_ladder = f"floor(({fitting} - {ladder[0]}) / {ladder.step}) * {ladder.step} + {ladder[0]}"
+    return boxes.withColumns(clipped).filter("_south <= _north AND _west <= _east").withColumns({
+        "_level": F.expr(f"cast(greatest({on_ladder}, {ladder[0]}) AS int)"),
+        "_depth": F.expr("greatest(cast(floor(log2(_side)) AS int) - 1, 0)"),
     })
 
 
-def cells(boxes: DataFrame, side: Column | int = SIDE, deepest: int = 5) -> DataFrame:
+def cells(boxes: DataFrame, side: Column | int = SIDE, ladder: range = ALL_LEVELS) -> DataFrame:
     """One row for each cell of each box: ``_step`` is BORDER for a cell on the border (of the box's own level), else the
     number of levels by which a whole cell is coarser; ``_at``, ``_i``, ``_j`` name the cell."""
-    rows = with_levels(boxes, side)
-    for step in range(deepest + 1):
-        scale = _power(F.col("_level") - step)
-        rows = rows.withColumns({
-            f"_i{step}": F.ceil(F.col("_south") * scale), f"_k{step}": F.floor(F.col("_north") * scale) - 1,
-            f"_j{step}": F.ceil(F.col("_west") * scale), f"_l{step}": F.floor(F.col("_east") * scale) - 1,
-        })
-
-    def run(step: int, low: str, high: str) -> str:
-        return f"named_struct('step', {step}, 'i', i, 'low', {low}, 'high', {high})"
-
-    def numbers(low: str, high: str) -> str:
-        return f"CASE WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE cast(array() AS array<bigint>) END"
-
-    parts = []
-    for step in range(deepest + 1):
-        above = step + 1
-        alone = f"array({run(step, f'_j{step}', f'_l{step}')})"
-        sides = f"array({run(step, f'_j{step}', f'2 * _j{above} - 1')}, {run(step, f'2 * _l{above} + 2', f'_l{step}')})"
-        covered = f"_depth > {step} AND shiftright(i, 1) BETWEEN _i{above} AND _k{above} AND _j{above} <= _l{above}"
-        each = f"CASE WHEN {covered} THEN {sides} ELSE {alone} END" if step < deepest else alone
-        inside = f"flatten(transform({numbers(f'_i{step}', f'_k{step}')}, i -> {each}))"
-        parts.append(f"CASE WHEN _depth >= {step} THEN {inside} ELSE cast(array() AS array<struct<step: int, i: bigint, low: bigint, high: bigint>>) END")
-    scale = "pow(2.0D, _level)"
-    first, last = f"floor(_west * {scale})", f"floor(_east * {scale})"
-    edge = f"""CASE WHEN i BETWEEN _i0 AND _k0 AND _j0 <= _l0 THEN array({run(BORDER, first, "_j0 - 1")}, {run(BORDER, "_l0 + 1", last)})
-               ELSE array({run(BORDER, first, last)}) END"""
-    parts.append(f"flatten(transform(sequence(floor(_south * {scale}), floor(_north * {scale})), i -> {edge}))")
-    runs = rows.withColumn("_run", F.explode(F.expr(f"concat({', '.join(parts)})"))).filter("_run.low <= _run.high")
-    return runs.select(
-        *boxes.columns, F.col("_run.step").alias("_step"), (F.col("_level") - F.greatest("_run.step", F.lit(0))).alias("_at"), F.col("_run.i").alias("_i"),
-        F.explode(F.expr("sequence(_run.low, _run.high)")).alias("_j"),
+
+    def runs(step: str, *ends: tuple[str, str]) -> str:
+        return ", ".join(f"named_struct('step', {step}, 'i', i, 'low', {low}, 'high', {high})" for low, high in ends)
+
+    # the cells wholly inside, for each number of levels above the box's own: rows i to k, columns j to l
+    inner = """transform(sequence(0, _depth), s -> named_struct('i', ceil(_s / shiftleft(1, s)), 'k', floor(_n / shiftleft(1, s)) - 1,
+        'j', ceil(_w / shiftleft(1, s)), 'l', floor(_e / shiftleft(1, s)) - 1))"""
+    own, above = "_in[s]", "_in[s + 1]"
+    in_above = f"s < _depth AND {above}.j <= {above}.l AND shiftright(i, 1) BETWEEN {above}.i AND {above}.k"
+    each = f"""CASE WHEN {in_above} THEN array({runs("s", (f"{own}.j", f"2 * {above}.j - 1"), (f"2 * {above}.l + 2", f"{own}.l"))})
+               ELSE array({runs("s", (f"{own}.j", f"{own}.l"))}) END"""
+    rows = f"CASE WHEN {own}.i <= {own}.k THEN sequence({own}.i, {own}.k) ELSE cast(array() AS array<bigint>) END"
+    whole = f"flatten(transform(sequence(0, _depth), s -> flatten(transform({rows}, i -> {each}))))"
+    edge = f"""CASE WHEN i BETWEEN _in[0].i AND _in[0].k AND _in[0].j <= _in[0].l
+               THEN array({runs(str(BORDER), ("floor(_w)", "_in[0].j - 1"), ("_in[0].l + 1", "floor(_e)"))})
+               ELSE array({runs(str(BORDER), ("floor(_w)", "floor(_e)"))}) END"""
+    touched = "sequence(floor(_s), floor(_n))"
+    few = f"transform({touched}, i -> {runs(str(BORDER), ('floor(_w)', 'floor(_e)'))})"  # small boxes are all border
+    many = f"concat({whole}, flatten(transform({touched}, i -> {edge})))"
+    scaled = {f"_{c[1]}": F.expr(f"{c} * pow(2.0D, _level)") for c in ("_south", "_north", "_west", "_east")}
+    found = (
+        with_levels(boxes, side, ladder)
+        .withColumns(scaled)
+        .withColumn("_in", F.expr(f"CASE WHEN _side >= {WHOLE_FROM} THEN {inner} END"))
+        .select(*boxes.columns, "_level", F.expr(f"inline(CASE WHEN _side >= {WHOLE_FROM} THEN {many} ELSE {few} END)"))
+    )
+    return found.filter("low <= high").select(
+        *boxes.columns, F.col("step").alias("_step"), F.expr("_level - greatest(step, 0)").alias("_at"), F.col("i").alias("_i"),
+        F.explode(F.expr("sequence(low, high)")).alias("_j"),
     )
 
 
-def _levels(boxes: DataFrame, side: Column | int, whole: bool) -> Column:
-    """The levels in use, of whole cells or of border cells, as an array."""
-    levels = F.expr("sequence(_level - _depth, _level)") if whole else F.array("_level")
-    return with_levels(boxes, side).select(F.explode(levels).alias("level")).agg(F.collect_set("level")).scalar()
+def _levels(boxes: DataFrame, side: Column | int) -> Column:
+    """The levels in use, as one row: ``own`` of border cells, ``whole`` of whole ones."""
+    levels = with_levels(boxes, side).select("_level", "_depth").distinct()
+    whole = "array_distinct(flatten(collect_list(sequence(_level - _depth, _level))))"
+    return levels.agg(F.struct(F.collect_set("_level").alias("own"), F.expr(whole).alias("whole"))).scalar()
 
 
 def _on_levels(points: DataFrame, latitude: str, longitude: str, levels: Column) -> DataFrame:
     """One row for each point and level, with its cell there."""
     known = points.filter(F.col(latitude).between(-90.0, 90.0) & F.col(longitude).between(-180.0, 180.0))
-    return known.withColumn("_at", F.explode(levels)).withColumns({
-        "_i": F.floor(F.col(latitude) * _power(F.col("_at"))), "_j": F.floor(F.col(longitude) * _power(F.col("_at"))),
-    })
+    return known.select("*", F.explode(levels).alias("_at")).select(
+        "*", F.expr(f"floor({latitude} * pow(2.0D, _at))").alias("_i"), F.expr(f"floor({longitude} * pow(2.0D, _at))").alias("_j")
+    )
 
 
 def _inside(latitude: str, longitude: str) -> Column:
     return F.col(latitude).between(F.col("south"), F.col("north")) & F.col(longitude).between(F.col("west"), F.col("east"))
 
 
-def _met(boxes: DataFrame, side: Column | int, whole: DataFrame, single: DataFrame, latitude: str, longitude: str) -> DataFrame:
+def _met(asked: DataFrame, whole: DataFrame, single: DataFrame, latitude: str, longitude: str) -> DataFrame:
     """Whole cells with what ``whole`` holds for them, border cells with the points of ``single`` inside the box."""
-    asked = cells(boxes, side).withColumn("_border", F.col("_step") == BORDER)
     held = whole.withColumn("_border", F.lit(False)).unionByName(single.withColumn("_border", F.lit(True)))
-    met = asked.join(held, ["_border", *CELL])
+    met = asked.withColumn("_border", F.col("_step") == BORDER).join(held, ["_border", *CELL])
     return met.filter(~F.col("_border") | _inside(latitude, longitude)).drop("_border", "_step", *CELL)
 
 
 def sums(
-    boxes: DataFrame, points: DataFrame, latitude: str, longitude: str, names: Sequence[str], by: Sequence[str] = (), side: Column | int = SIDE
-) -> DataFrame:
+    boxes: DataFrame, points: DataFrame, latitude: str, longitude: str, names: Sequence[str], by: Sequence[str] = (), side: Column | int = SIDE,
+    ladder: range = ALL_LEVELS, whole: Sequence[int] | None = None,
+) -> DataFrame:
     """Rows of partial sums of ``names`` over the points in each box, one for each of its cells and border points; ``by``
-    splits them further. Points at one place should be summed already."""
-    totals = (
-        _on_levels(points, latitude, longitude, _levels(boxes, side, True))
-        .groupBy(*CELL, *by)
-        .agg(*[F.sum(name).alias(name) for name in names])
-        .withColumns({latitude: F.lit(None).cast("double"), longitude: F.lit(None).cast("double")})
-    )
-    single = _on_levels(points, latitude, longitude, _levels(boxes, side, False)).select(*totals.columns)
-    return _met(boxes, side, totals, single, latitude, longitude).drop(latitude, longitude)
+    splits them further. Points at one place should be summed already.
+
+    The levels in use are read from the boxes. Where the boxes are the larger input by far, a short ``ladder`` with the levels
+    of ``whole`` cells is used as it is, and the boxes are read once.
+    """
+    if whole is None:
+        levels = _levels(boxes, side)
+        own, above = levels["own"], levels["whole"]
+    else:
+        own, above = (F.array(*[F.lit(level) for level in chosen]) for chosen in (ladder, whole))
+    place = [F.lit(None).cast("double").alias(c) for c in (latitude, longitude)]
+    totals = _on_levels(points, latitude, longitude, above).groupBy(*CELL, *by).agg(*[F.sum(name).alias(name) for name in names])
+    single = _on_levels(points, latitude, longitude, own).select(*totals.columns, latitude, longitude)
+    return _met(cells(boxes, side, ladder), totals.select("*", *place), single, latitude, longitude).drop(latitude, longitude)
 
 
 def newest(
@@ -128,6 +131,7 @@ def newest(
         return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= rows).drop("_rank")
 
     per_place = first(points, latitude, longitude)
-    whole = first(_on_levels(per_place, latitude, longitude, _levels(boxes, side, True)), *CELL)
-    single = _on_levels(per_place, latitude, longitude, _levels(boxes, side, False))
-    return _met(boxes, side, whole, single, latitude, longitude)
+    levels = _levels(boxes, side)
+    whole = first(_on_levels(per_place, latitude, longitude, levels["whole"]), *CELL)
+    single = _on_levels(per_place, latitude, longitude, levels["own"])
+    return _met(cells(boxes, side), whole, single, latitude, longitude)

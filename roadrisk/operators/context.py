@@ -6,6 +6,8 @@ its border cells meet single points. Pairs of places and incidents are an equi j
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roadrisk.functions import clock, scores, text
@@ -25,6 +27,9 @@ PLACE = ("latitude", "longitude")
 RECENT_DAYS = 30
 SEASON_DAYS = 90
 LONG_SEGMENT_DEGREES = 0.5
+SHORT_SIDE = 3
+SEGMENT_LEVELS = range(-6, 15, 2)  # from cells of 64 degrees to some seven metres
+SEGMENT_WHOLE_LEVELS = range(-10, 7)
 ROUTE_SLOT_POINTS = 1000
 
 
@@ -202,18 +207,13 @@ ACCIDENT_COUNTS = ("accidents", "minor", "major", "fatal", "unknown", "seasonal"
 def _segment_side() -> Column:
     """Cells along a segment: few for a short one, whose box holds few accidents."""
     extent = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
-    return F.when(extent > LONG_SEGMENT_DEGREES, quadtree.SIDE).otherwise(2)
+    return F.when(extent > LONG_SEGMENT_DEGREES, quadtree.SIDE).otherwise(SHORT_SIDE)
 
 
-def segment_accidents(
-    segments: DataFrame, accidents: DataFrame, as_of_time: str, window_days: int = 365
-) -> DataFrame:
-    """Accident counts in the box of each segment that has any."""
-    points = accidents_by_point(accidents, as_of_time, window_days)
-    return (
-        quadtree.sums(segments, points, "accident_lat", "accident_lon", ACCIDENT_COUNTS, side=_segment_side())
-        .groupBy("route_id", "segment")
-        .agg(*[F.sum(name).alias(name) for name in ACCIDENT_COUNTS])
+def _segment_sums(segments: DataFrame, points: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Sums over the points in the box of each segment; only long segments, of more than LONG_SEGMENT_DEGREES, have whole cells."""
+    return quadtree.sums(
+        segments, points, "accident_lat", "accident_lon", names, by, _segment_side(), SEGMENT_LEVELS, SEGMENT_WHOLE_LEVELS
     )
 
 
@@ -222,13 +222,15 @@ def route_accidents(
 ) -> DataFrame:
     """Accident counts of every route, summed over its segments (border accidents count for both)."""
     segments = route_segments(route_points)
-    lengths = segments.groupBy("route_id").agg(F.sum("miles").alias("route_miles"))
-    counts = (
-        segment_accidents(segments, accidents, as_of_time, window_days)
-        .groupBy("route_id")
-        .agg(*[F.sum(name).alias(name) for name in ACCIDENT_COUNTS])
+    points = accidents_by_point(accidents, as_of_time, window_days)
+    counts = _segment_sums(segments, points, ACCIDENT_COUNTS)
+    none = F.lit(0).cast("long")
+    rows = counts.select("route_id", F.lit(0.0).alias("miles"), *ACCIDENT_COUNTS).unionByName(
+        segments.select("route_id", "miles", *[none.alias(name) for name in ACCIDENT_COUNTS])
+    )
+    return rows.groupBy("route_id").agg(
+        F.sum("miles").alias("route_miles"), *[F.sum(name).alias(name) for name in ACCIDENT_COUNTS]
     )
-    return lengths.join(counts, "route_id", "left").fillna(0, list(ACCIDENT_COUNTS))
 
 
 def accident_risk(
@@ -287,7 +289,7 @@ def accident_rows_on_routes(
     )
     kind = ("severity", "weather_conditions")
     return (
-        quadtree.sums(segments, grouped, "accident_lat", "accident_lon", ("accidents",), kind, _segment_side())
+        _segment_sums(segments, grouped, ("accidents",), kind)
         .groupBy("route_id", "segment", *kind)
         .agg(F.sum("accidents").alias("accidents"))
     )

@@ -201,6 +201,7 @@ def as_of_tables(
         parts.groupBy(*keys, "_at")
         .agg(*[F.max_by(f"_p{name}", f"_t{name}").alias(f"_p{name}") for name in tables])
         .withColumn("_leaf", F.floor(F.col("_at") / F.lit(leaf_micros)))
+        .repartition(*keys, "_leaf")  # read twice, by leaf
     )
 
     def last(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -211,7 +212,7 @@ def as_of_tables(
         before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({prefix + name: F.last(name, ignorenulls=True).over(before) for name in seen})
 
-    leaves = last(moments, [*keys, "_leaf"], "_at").withColumn("_block", F.floor(F.col("_leaf") / LEAVES))
+    leaves = last(moments, [*keys, "_leaf"], "_at").withColumn("_block", F.floor(F.col("_leaf") / LEAVES)).repartition(*keys, "_block")
     blocks = carried(last(leaves, [*keys, "_block"], "_leaf"), keys, "_block", "_b").drop(*seen)
     leaves = carried(leaves, [*keys, "_block"], "_leaf", "_l").join(blocks, [*keys, "_block"])
     leaves = leaves.select(*keys, "_leaf", *[F.coalesce(f"_l{name}", f"_b{name}").alias(f"_c{name}") for name in seen])

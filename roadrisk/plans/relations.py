@@ -1,7 +1,8 @@
 """Domain relations derived from the given tables.
 
 Every relation is one SQL text for both engines. ``{series:n}`` stands for a row generator that
-joins the numbers 0 .. n-1 to a row, ``{list:a,b}`` for an array constant: the two spellings that differ.
+joins the numbers 0 .. n-1 to a row, ``{list:a,b}`` for an array constant: the two spellings that differ. ``{deal:key}`` deals the
+rows by a key before many are made of each, since a small table is one row group and would be one task.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ SELECT event_id, seq, ts + seq * step_s * INTERVAL '1' SECOND AS timestamp,
   CASE WHEN h % 29 = 0 THEN 1 ELSE 0 END AS phone_usage,
   CASE WHEN 5 * (event_id % 10) + h % 41 > 25 + 5 * (event_id % 10) THEN 1 ELSE 0 END AS over_speed_limit
 FROM (
-  SELECT e.event_id, e.user_id, e.ts, CAST(g.i AS BIGINT) AS seq, (e.event_id * 7919 + g.i * 104729) % 1000 AS h,
+  SELECT {deal:event_id} e.event_id, e.user_id, e.ts, CAST(g.i AS BIGINT) AS seq, (e.event_id * 7919 + g.i * 104729) % 1000 AS h,
          CASE WHEN e.event_id % 10 = 0 THEN 300 ELSE 15 * (1 + e.event_id % 5) END AS step_s
   FROM events e {series:2 + e.event_id % 19}
 ) p""",
@@ -159,6 +160,7 @@ def spark_text(name: str) -> str:
     text = re.sub(
         r"\{list:([^}]*)\}", lambda m: "array(" + ", ".join(f"'{x}'" for x in m[1].split(",")) + ")", text
     )
+    text = re.sub(r"\{deal:([^}]*)\}", r"/*+ REPARTITION(e.\1) */", text)
     return text.replace("{ntz}", "TIMESTAMP_NTZ")
 
 
@@ -167,7 +169,7 @@ def duckdb_text(name: str) -> str:
     text = re.sub(
         r"\{list:([^}]*)\}", lambda m: "[" + ", ".join(f"'{x}'" for x in m[1].split(",")) + "]", text
     )
-    return text.replace("{ntz}", "TIMESTAMP")
+    return re.sub(r"\{deal:[^}]*\} ", "", text).replace("{ntz}", "TIMESTAMP")
 
 
 class Inputs:
