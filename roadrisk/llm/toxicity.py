@@ -4,8 +4,8 @@ The kernel counts common subsequences of four letters that spread over at most s
 DECAY per character of its spread, so an insult with a gap or inserted characters still shares most of them. Landmarks
 are words of labelled sentences; each word is described by its kernel values with them (Nystroem features), and a linear
 machine with squared hinge loss is fitted to the words. Its decision is linear in the subsequences, so it folds into
-one weight for each of them, and a text is scored at every word start in a few array operations: no document is compared with
-landmarks one by one. The scores of a text's highest words and its length go to a logistic curve.
+one weight for each of them, and a text is scored at every word start, and inside long runs without white space at further
+starts, in a few array operations: no document is compared with landmarks one by one. The scores of a text's highest words and its length go to a logistic curve.
 
 Learning uses a bounded sample of labelled rows (``toxic_rows`` and ``clean_rows``, the first by hash of the
 id); rows whose crc32(doc_id) mod 5 is 0 are never used. Scoring covers every document, whole.
@@ -17,8 +17,10 @@ both kinds every score is the share of toxic labels (0 without labels); other co
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from roadrisk.llm.shared import text_blocks, with_small_batches
 
 DECAY = 0.4
 SPREAD = 7  # characters that a subsequence may span
-SYMBOLS = 28  # 0: others, 1-26: letters without accents, 27: space
+SYMBOLS = 28  # 0: others, 1-26: letters without accents (other scripts share them), 27: space
 REACH = 12  # characters after a word's start whose subsequences count for it
 TOP = 6  # highest words of a text
 LANDMARKS = 256
@@ -60,10 +62,52 @@ def _symbol_table() -> bytes:
 SYMBOL = _symbol_table()
 
 
+@cache
+def _all_symbols() -> np.ndarray:
+    """A symbol for each character beyond Latin-1 too: letters with marks are folded, letters of other scripts share the 26
+    letter symbols by their code."""
+    table = np.zeros(0x110000, np.uint8)
+    table[:256] = np.frombuffer(SYMBOL, np.uint8)
+    for code in range(256, len(table)):
+        char = chr(code)
+        if char.isalpha():
+            letter = unicodedata.normalize("NFD", char.lower())[0]
+            table[code] = ord(letter) - 96 if "a" <= letter <= "z" else ord(letter) % 26 + 1
+        elif char.isspace():
+            table[code] = 27
+    return table
+
+
 def symbols(text: bytes) -> np.ndarray:
     """Symbols of a text between two spaces."""
-    plain = text if text.isascii() else text.decode("utf-8", "replace").encode("latin-1", "replace")
-    return np.frombuffer(b"\x1b" + plain.translate(SYMBOL) + b"\x1b", np.uint8)
+    if not text.isascii():
+        plain = text.decode("utf-8", "replace")
+        try:
+            text = plain.encode("latin-1")
+        except UnicodeEncodeError:
+            row = _all_symbols()[np.frombuffer(plain.encode("utf-32-le"), np.uint32)]
+            return np.r_[np.uint8(27), row, np.uint8(27)]
+    return np.frombuffer(b"\x1b" + text.translate(SYMBOL) + b"\x1b", np.uint8)
+
+
+def inner_starts(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Further starts inside runs without white space that are longer than REACH: at characters that are no letters before
+    a letter, and at every REACH / 2 letters of a long stretch of letters. Every letter is thus within reach of a start."""
+    space = row == 27
+    first, last = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    long = last - first > REACH
+    if not long.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    change = np.zeros(len(row) + 1, np.int8)
+    change[first[long]], change[last[long]] = 1, -1
+    inside = np.cumsum(change[:-1]).astype(bool)
+    letter = (row >= 1) & (row <= 26) & inside
+    breaks = np.flatnonzero((row[:-1] == 0) & inside[:-1] & letter[1:])
+    edges = np.flatnonzero(np.diff(np.r_[False, letter, False].view(np.int8)))
+    begins, ends = edges[::2], edges[1::2]
+    wide = ends - begins > REACH
+    steps = [np.arange(b + REACH // 2, e - 3, REACH // 2) for b, e in zip(begins[wide], ends[wide], strict=True)]
+    return breaks, np.concatenate(steps) if steps else np.empty(0, np.int64)
 
 
 def subsequences(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +206,8 @@ class Model:
     curve: np.ndarray | None
     share: float
 
-    def word_scores(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and scores of the words of a symbol row."""
-        starts = np.flatnonzero((row[:-1] == 27) & (row[1:] != 27))
-        if not len(starts):
-            return starts, np.empty(0)
+    def _sums(self, row: np.ndarray) -> np.ndarray:
+        """Weights of the subsequences that begin before each place."""
         padded = np.r_[row, np.zeros(SPREAD, np.uint8)].astype(np.int32)
         count = len(row)
         total = np.zeros(count, np.float32)
@@ -174,8 +215,25 @@ class Model:
         for a, b, c in PATTERNS:
             code = pairs[a][:count] * (SYMBOLS * SYMBOLS) + pairs[c - b][b : b + count]
             total += self.weights[c].take(code)
-        sums = np.r_[0, np.cumsum(total, dtype=np.float64)]
-        return starts, sums[np.minimum(starts + REACH, count)] - sums[starts] + self.constant
+        return np.r_[0, np.cumsum(total, dtype=np.float64)]
+
+    def word_scores(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and scores of the words of a symbol row. A word after a character that is no letter scores as after a space."""
+        starts = np.flatnonzero((row[:-1] == 27) & (row[1:] != 27))
+        if not len(starts):
+            return starts, np.empty(0)
+        breaks, steps = inner_starts(row)
+
+        def reached(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return sums[np.minimum(at + REACH, len(row))] - sums[at] + self.constant
+
+        sums = self._sums(row)
+        parts = [(starts, reached(sums, starts)), (steps, reached(sums, steps))]
+        if len(breaks):
+            parts.append((breaks, reached(self._sums(np.where(row == 0, np.uint8(27), row)), breaks)))
+        places, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(places, kind="stable")
+        return places[order], scores[order]
 
     def features(self, texts: list[bytes | None]) -> np.ndarray:
         rows = [symbols(t or b"") for t in texts]

@@ -94,6 +94,42 @@ def test_toxicity_learns_insults_and_tolerates_gaps():
     assert gapped > clean
 
 
+@pytest.fixture(scope="module")
+def insult_model():
+    return toxicity.trained([(t, x, k % 5 == 1) for k, t, x in labelled() if k % 5])
+
+
+@pytest.mark.parametrize("lead", ["reaning-", "theonering.", "anonreingly/", "reaningly7", "on_er_ing_an_re_of_ly_", "thereon-lyofing-anering-"])
+def test_an_insult_inside_a_long_run_scores_as_after_a_space(insult_model, lead):
+    def best(text):
+        return insult_model.word_scores(toxicity.symbols(text.encode()))[1].max()
+
+    assert best(f"ontheer {lead}idiot lyofing") >= best("ontheer idiot lyofing") - 1e-3
+    insults = [insult_model.word_scores(toxicity.symbols(f"ontheer {x} ".encode()))[1][-3:] for x in (f"{lead}idiot-moron-stupid", "an idiot moron stupid")]
+    assert insults[0] == pytest.approx(insults[1], abs=1e-3)  # the words of the run score as words apart
+    clean = " ".join(["theanon", "reingly"] * 13)
+    plain, hidden = insult_model.scores([x.encode() for x in (clean, f"{clean} {lead}idiot-moron-stupid")])
+    assert plain < 1e-6 and hidden > 1000 * plain
+
+
+def test_every_place_of_a_text_counts(insult_model):
+    """An insult is met wherever it stands in a run of 60 letters."""
+    filler = "onthereanlyingofer" * 4
+    base = insult_model.word_scores(toxicity.symbols(filler[:60].encode()))[1].max()
+    for at in range(60):
+        found = insult_model.word_scores(toxicity.symbols((filler[:at] + "stupid" + filler[at:60]).encode()))[1].max()
+        assert found > base + 0.1
+
+
+def test_other_scripts_are_learned_and_scored():
+    swap = dict(zip("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ", strict=True))
+    rows = [(k, "".join(swap.get(c, c) for c in t), x) for k, t, x in labelled()]
+    model = toxicity.trained([(t, x, k % 5 == 1) for k, t, x in rows if k % 5])
+    held = [(t, x) for k, t, x in rows if k % 5 == 0]
+    assert np.mean((model.scores([t.encode() for t, _ in held]) >= 0.5) == [x == 1 for _, x in held]) > 0.9
+    assert toxicity.symbols("debilški".encode()).tolist() == toxicity.symbols(b"debilski").tolist()
+
+
 def test_kernel_equals_definition():
     def brute(a, b):
         def grams(s):
