@@ -19,6 +19,7 @@ from roadrisk.functions.geo import (
     haversine_miles,
     latitude_delta,
     longitude_delta,
+    with_ellipsoid_miles,
 )
 from roadrisk.operators import boxes as quadtree
 from roadrisk.operators.sequence import as_of_tables, not_older, with_previous
@@ -150,9 +151,9 @@ def crime_risk(
     )
 
 
-def route_segments(route_points: DataFrame) -> DataFrame:
-    """Segments between successive points of a route, with their miles and bounds."""
-    pairs = with_previous(
+def _route_steps(route_points: DataFrame) -> DataFrame:
+    """Successive points of a route."""
+    return with_previous(
         route_points,
         ("route_id",),
         "seq",
@@ -160,8 +161,12 @@ def route_segments(route_points: DataFrame) -> DataFrame:
         ("latitude", "longitude"),
         slot=F.floor(F.col("seq") / ROUTE_SLOT_POINTS),
     ).filter(F.col("prev_latitude").isNotNull())
+
+
+def route_segments(route_points: DataFrame) -> DataFrame:
+    """Segments between successive points of a route, with their miles on a sphere and bounds."""
     lat, lon, lat0, lon0 = (F.col(c) for c in (*PLACE, "prev_latitude", "prev_longitude"))
-    return pairs.select(
+    return _route_steps(route_points).select(
         "route_id",
         (F.col("seq") - 1).alias("segment"),
         haversine_miles(lat0, lon0, lat, lon, ROUTE_EARTH_RADIUS).alias("miles"),
@@ -173,7 +178,11 @@ def route_segments(route_points: DataFrame) -> DataFrame:
 
 
 def route_lengths(route_points: DataFrame) -> DataFrame:
-    return route_segments(route_points).groupBy("route_id").agg(F.sum("miles").alias("route_miles"))
+    """Miles of each route on the ellipsoid, and the number of its segments that had to be measured on a sphere."""
+    steps = with_ellipsoid_miles(_route_steps(route_points), "prev_latitude", "prev_longitude", *PLACE, "miles")
+    return steps.groupBy("route_id").agg(
+        F.sum("miles").alias("route_miles"), F.count_if(~F.col("miles_settled")).alias("sphere_segments")
+    )
 
 
 def accidents_by_point(accidents: DataFrame, as_of_time: str, window_days: int = 365) -> DataFrame:

@@ -211,7 +211,36 @@ def _(i):
     return context.accident_rows_on_routes(segments, i.traffic_accidents, AS_OF_EXTERNAL)
 
 
-@query("agg_route_length", keep="route_id", nums="route_miles", sql="SELECT * FROM t_lengths")
+def geodesic_sql(rows: str, rounds: int = 8) -> str:
+    """Lengths on the ellipsoid from (lat1, lon1) to (lat2, lon2), one nested select for each step."""
+    f, a = "(1 / 298.257223563E0)", 6378137.0
+    b = f"({a!r}E0 * (1 - {f}))"
+    text = f"""SELECT *, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, dl AS x, dl AS before FROM (
+SELECT *, atan((1 - {f}) * tan(radians(lat1))) AS u1, atan((1 - {f}) * tan(radians(lat2))) AS u2, radians(lon2 - lon1) AS dl FROM ({rows}) r) u"""
+
+    def arc(inner: str) -> str:
+        return f"""SELECT *, CASE WHEN q > 1e-15 THEN cs - 2 * s1 * s2 / q ELSE 0 END AS m FROM (SELECT *, 1 - az * az AS q FROM (
+SELECT *, atan2(ss, cs) AS arc, CASE WHEN ss > 0 THEN c1 * c2 * sin(x) / ss ELSE 0 END AS az FROM (
+SELECT *, sqrt(pow(c2 * sin(x), 2) + pow(c1 * s2 - s1 * c2 * cos(x), 2)) AS ss, s1 * s2 + c1 * c2 * cos(x) AS cs FROM ({inner}) i1) i2) i3) i4"""
+
+    for _ in range(rounds):
+        text = f"""SELECT * EXCLUDE (ss, cs, arc, az, q, m, c) REPLACE (x AS before, dl + (1 - c) * {f} * az * (arc + c * ss * (m + c * cs * (2 * m * m - 1))) AS x)
+FROM (SELECT *, {f} / 16 * q * (4 + {f} * (4 - 3 * q)) AS c FROM ({arc(text)}) a1) a2"""
+    return f"""SELECT *, {b} * big * (arc - k * ss * (m + k / 4 * (cs * (2 * m * m - 1) - k / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))) / 1609.344E0 AS miles, abs(x - before) < 1e-12 AS settled
+FROM (SELECT *, 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))) AS big, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS k
+FROM (SELECT *, q * (({a!r}E0 * {a!r}E0 - {b} * {b}) / ({b} * {b})) AS w FROM ({arc(text)}) z1) z2) z3"""
+
+
+ROUTE_STEPS = """SELECT * FROM (SELECT route_id, lag(latitude) OVER w AS lat1, lag(longitude) OVER w AS lon1, latitude AS lat2, longitude AS lon2
+FROM route_points WINDOW w AS (PARTITION BY route_id ORDER BY seq)) p WHERE lat1 IS NOT NULL"""
+
+
+@query(
+    "agg_route_length",
+    keep="route_id sphere_segments",
+    nums="route_miles",
+    sql=f"SELECT route_id, sum(miles) AS route_miles, count(*) FILTER (NOT settled) AS sphere_segments FROM ({geodesic_sql(ROUTE_STEPS)}) g GROUP BY route_id",
+)
 def _(i):
     return context.route_lengths(i.route_points)
 
