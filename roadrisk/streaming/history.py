@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from roadrisk.config import STREAM_RULES, StreamRules
+from roadrisk.config import STREAM_RULES, TRIP_RULES, StreamRules, TripRules
 from roadrisk.operators.realtime import DAY, HOUR, add_pattern_score, with_all_texts, with_score
 from roadrisk.streaming.sources import with_event_time
 
@@ -115,30 +115,62 @@ def with_history(
     return with_all_texts(add_pattern_score(zone_free, rules), rules)
 
 
-def with_full_buckets(points: DataFrame, size: int = 1000) -> DataFrame:
+def _usable_from(rows: pd.DataFrame, rules: TripRules) -> int:
+    """Number of rows after which some trip of the rows is long enough to give features; beyond the rows if none is."""
+    valid = (
+        rows["latitude"].between(-90, 90) & rows["longitude"].between(-180, 180) & rows["speed_mph"].between(0, rules.max_speed_mph)
+        & rows["trip_id"].notna() & rows["timestamp"].notna()
+    ).to_numpy()
+    if not valid.any():
+        return len(rows) + 1
+    trips = rows.loc[valid, ["trip_id", "timestamp"]].groupby("trip_id")["timestamp"]
+    minutes = (trips.cummax() - trips.cummin()).dt.total_seconds().to_numpy() / 60
+    found = np.flatnonzero(minutes >= rules.min_trip_minutes)
+    return int(np.flatnonzero(valid)[found[0]]) + 1 if len(found) else len(rows) + 1
+
+
+def with_full_buckets(points: DataFrame, size: int = 1000, retry: bool = False, rules: TripRules = TRIP_RULES) -> DataFrame:
     """Points of each run of ``size`` points of a driver, emitted when the run is complete.
 
-    State: the points of the open run (fewer than ``size``) and the number of complete runs.
+    With ``retry``, a complete run without a trip that gives features is kept: it grows with each further point and is emitted
+    with the first one that completes such a trip.
+
+    State: the points of the open run (fewer than ``size``, but for runs that are kept) and the number of emitted runs.
     """
     schema = StructType(list(points.schema.fields)).add("bucket", LongType())
     columns = points.columns
     order = [c for c in ("timestamp", "event_id", "seq") if c in columns]
 
+    def ends_of(rows: pd.DataFrame) -> list[int]:
+        if not retry:
+            return list(range(size, len(rows) + 1, size))
+        ends, begin = [], 0
+        while begin + size <= len(rows):
+            need = _usable_from(rows.iloc[begin : begin + size], rules)
+            if need > size:
+                need = _usable_from(rows.iloc[begin:], rules)
+            if need > len(rows) - begin:
+                break
+            begin += max(size, need)
+            ends.append(begin)
+        return ends
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(batches), ignore_index=True).sort_values(order, ignore_index=True)
         done, waiting = state.get if state.exists else (0, None)
         if waiting:
             with pa.ipc.open_stream(pa.py_buffer(waiting)) as reader:
                 new = pd.concat([reader.read_pandas(), new], ignore_index=True)
-        complete = len(new) // size
-        rest = pa.Table.from_pandas(new.iloc[complete * size :], preserve_index=False)
+        ends = ends_of(new)
+        complete = ends[-1] if ends else 0
+        rest = pa.Table.from_pandas(new.iloc[complete:], preserve_index=False)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rest.schema) as writer:
             writer.write_table(rest)
-        state.update((done + complete, sink.getvalue().to_pybytes()))
+        state.update((done + len(ends), sink.getvalue().to_pybytes()))
         if complete:
-            full = new.iloc[: complete * size]
-            yield full.assign(bucket=done + np.arange(len(full)) // size)
+            full = new.iloc[:complete]
+            yield full.assign(bucket=done + np.searchsorted(ends, np.arange(complete), side="right"))
 
     return points.groupBy("driver_id").applyInPandasWithState(
         step, schema, "done bigint, waiting binary", "append", GroupStateTimeout.NoTimeout

@@ -165,11 +165,12 @@ def latest_risk_table(
 
 
 def count_bucket_features(
-    points: DataFrame, folder: str, checkpoint: str, size: int = 1000
+    points: DataFrame, folder: str, checkpoint: str, size: int = 1000, retry: bool = True
 ) -> StreamingQuery:
-    """One feature row per full run of points of a driver; a run without a valid trip gives none."""
+    """One feature row per full run of points of a driver. A run without a valid trip is kept and tried again with every further
+    point; without ``retry`` it gives no row."""
     return per_batch(
-        with_full_buckets(points, size),
+        with_full_buckets(points, size, retry),
         folder,
         checkpoint,
         lambda full: trips.features_of_all_drivers(full, group=("bucket",)),

@@ -180,6 +180,37 @@ def test_count_buckets_span_files(spark):
         assert same["trip_frequency"] == row["trip_frequency"]
 
 
+def test_a_bucket_without_a_valid_trip_is_kept_and_tried_again(spark):
+    """Runs of ten points: the first has only broken positions, later ones too short trips; against a walk point by point."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(160):
+        driver = "a" if k % 4 else "b"
+        broken = k < 30 or rng.random() < 0.2
+        trip = f"{driver}{k // 40}" if k % 80 < 40 else f"{driver}-{k}"  # for a while each point is a trip of its own
+        rows.append((START + timedelta(seconds=15 * k), driver, trip, k, 95.0 if broken else 40.0, -74.0, 30.0, 0.0, 30.0, "urban", "rain", "day", 0, 0, 1, 0))
+    df = spark.createDataFrame(rows, schemas.POINTS)
+    source, out = folder(), f"{folder()}/out"
+    write_files(df, source, [0, 7, 8, 60, 61, 160], "seq")
+    stream = sources.file_stream(spark, source, schemas.POINTS, files_per_trigger=1)
+    jobs.count_bucket_features(stream, out, folder(), 10).awaitTermination()
+    got = {(r["driver_id"], r["bucket"]): r["trip_frequency"] for r in jobs.read_batches(spark, out).collect()}
+    want, kept, done = {}, {"a": [], "b": []}, {"a": 0, "b": 0}
+    for at, driver, trip, _, lat, *_ in rows:
+        kept[driver].append((at, trip, lat))
+        if len(kept[driver]) >= 10:
+            spans = {}
+            for time_, name, y in kept[driver]:
+                if y <= 90:
+                    first, _ = spans.get(name, (time_, time_))
+                    spans[name] = (first, time_)
+            usable = sum((b - a).total_seconds() >= 120 for a, b in spans.values())
+            if usable:
+                want[driver, done[driver]] = usable
+                kept[driver], done[driver] = [], done[driver] + 1
+    assert got == want and len(want) > 4
+
+
 def test_request_windows(spark):
     log = spark.range(300).select(
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, id * 47)")).alias("timestamp"),
