@@ -249,15 +249,34 @@ def envelopes(events: DataFrame, ingested_at: Column | None = None) -> DataFrame
     return ready.select(F.col("driver_id").alias("key"), F.to_json(F.struct(*ready.columns)).alias("value"))
 
 
+def _parsed(envelopes_: DataFrame, schema: str) -> DataFrame:
+    return envelopes_.select("*", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e"))
+
+
+def _readable() -> Column:
+    known = F.col("e.driver_id").isNotNull() & F.col("e.timestamp").try_cast("timestamp_ntz").isNotNull()
+    return F.coalesce(known, F.lit(False))
+
+
 def read_envelopes(envelopes_: DataFrame, schema: str) -> DataFrame:
-    """Parsed envelopes; malformed texts are left out."""
+    """Parsed envelopes; malformed texts are left out, see ``malformed_envelopes``."""
     return (
-        envelopes_.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e"))
+        _parsed(envelopes_, schema)
+        .filter(_readable())
         .select("e.*")
-        .filter(F.col("driver_id").isNotNull() & F.col("timestamp").isNotNull())
-        .withColumn("timestamp", F.to_timestamp_ntz("timestamp"))
-        .withColumn("ingestion_timestamp", F.to_timestamp_ntz("ingestion_timestamp"))
+        .withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
+        .withColumn("ingestion_timestamp", F.col("ingestion_timestamp").try_cast("timestamp_ntz"))
+    )
+
+
+def malformed_envelopes(envelopes_: DataFrame, schema: str) -> DataFrame:
+    """The texts that ``read_envelopes`` leaves out, as they came, with the reason; valid on tables and on streams."""
+    reason = (
+        F.when(F.col("value").isNull(), "no text")
+        .when(F.col("e").isNull() | F.col("e.driver_id").isNull(), "no driver or not JSON")
+        .otherwise("no usable time")
     )
+    return _parsed(envelopes_, schema).filter(~_readable()).select(*envelopes_.columns, reason.alias("reason"))
 
 
 def full_buckets(points: DataFrame, size: int = 1000) -> DataFrame:

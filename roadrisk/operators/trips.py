@@ -222,12 +222,13 @@ def feature_table(features: DataFrame) -> DataFrame:
     return features.select("driver_id", *ML_FEATURES)
 
 
-def failed_drivers(raw: DataFrame, features: DataFrame) -> DataFrame:
+def failed_drivers(raw: DataFrame, features: DataFrame, rules: TripRules = TRIP_RULES) -> DataFrame:
     """Drivers of the raw points that got no features, with the reason."""
     valid = (
         F.col("latitude").between(-90, 90)
         & F.col("longitude").between(-180, 180)
-        & F.col("speed_mph").between(0, TRIP_RULES.max_speed_mph)
+        & F.col("speed_mph").between(0, rules.max_speed_mph)
+        & F.col("trip_id").isNotNull()
     )
     seen = raw.groupBy("driver_id").agg(
         F.count("*").alias("raw_points"), F.count(F.when(valid, 1)).alias("valid_points")

@@ -273,3 +273,14 @@ def test_envelopes_skip_malformed_texts(spark):
     back = realtime.read_envelopes(sent.union(broken), text)
     assert back.count() == 5
     assert {r["timestamp"] for r in back.collect()} == {r["timestamp"] for r in df.collect()}
+
+
+def test_malformed_envelopes_are_named(spark):
+    good = '{"driver_id": "a", "timestamp": "2024-01-01T00:00:00.000000"}'
+    texts = [good, "{not json", None, '{"driver_id": "a", "timestamp": "yesterday"}', '{"driver_id": "a"}', '{"timestamp": "2024-01-01T00:00:00"}', "[]"]
+    df = spark.createDataFrame([("k", t) for t in texts], "key string, value string")
+    schema = "driver_id string, timestamp string, ingestion_timestamp string"
+    assert [r["driver_id"] for r in realtime.read_envelopes(df, schema).collect()] == ["a"]
+    left = {r["value"]: r["reason"] for r in realtime.malformed_envelopes(df, schema).collect()}
+    assert set(left) == set(texts) - {good}
+    assert left[None] == "no text" and left["{not json"] == "no driver or not JSON" and left[texts[3]] == "no usable time" == left[texts[4]]
