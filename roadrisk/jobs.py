@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roadrisk.config import MODEL_RULES, TRIP_RULES, ModelRules, TripRules
 from roadrisk.operators import ml, pricing, trips
@@ -27,16 +27,25 @@ def train(
     folder: str,
     trip_rules: TripRules = TRIP_RULES,
     model_rules: ModelRules = MODEL_RULES,
+    targets: DataFrame | None = None,
+    target: str = "target",
 ) -> Training:
     """Points to features, failed drivers, trained models and their comparison.
 
-    Features go to ``folder/features`` as CSV and the models to ``folder/models``.
+    Features go to ``folder/features`` as CSV and the models to ``folder/models``. ``targets`` (driver_id and the column
+    ``target``, one row per driver) are learned where they are given; drivers without one are left out of the training. Else
+    the rule score is the target.
     """
     features = cut_lineage(trips.features_of_all_drivers(points, rules=trip_rules))
-    models = ml.train_models(trips.feature_table(features), rules=model_rules)
+    table = trips.feature_table(features)
+    if targets is not None:
+        known = targets.select("driver_id", F.col(target).cast("double").alias(target)).dropna()
+        models = ml.train_models(table.join(known, "driver_id"), target, rules=model_rules)
+    else:
+        models = ml.train_models(table, rules=model_rules)
     files.write_feature_csv(features, f"{folder}/features", mode="overwrite")
     save_models(spark, models, f"{folder}/models")
-    return Training(features, trips.failed_drivers(points, features), models, ml.metrics_table(models, spark))
+    return Training(features, trips.failed_drivers(points, features, trip_rules), models, ml.metrics_table(models, spark))
 
 
 def price(

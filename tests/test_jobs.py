@@ -34,6 +34,21 @@ def test_train_then_price(spark, inputs):
     assert pricing.market_position(priced).first()["total_drivers"] == drivers
 
 
+def test_train_on_given_targets(spark, inputs, monkeypatch):
+    """The given column is learned and is no feature; drivers without one stay out of the training."""
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    points = inputs.telematics_raw
+    drivers = points.select("driver_id").distinct()
+    claims = drivers.select("driver_id", F.when(F.col("driver_id") != "driver_00001", F.lit(0.625)).alias("claim_rate"))
+    every = jobs.ml.train_models
+    monkeypatch.setattr(jobs.ml, "train_models", lambda *a, **b: every(*a, families=("random_forest",), **b))
+    result = jobs.train(spark, points, f"{folder}/out", model_rules=RULES, targets=claims, target="claim_rate")
+    assert "claim_rate" not in result.models.features
+    scores = jobs.ml.predict_scores(result.models, result.features).collect()
+    assert len(scores) == drivers.count() and {round(r["risk_score"], 9) for r in scores} == {0.625}
+    assert result.models.choose("random_forest").train_rows < drivers.count()
+
+
 def test_plain_points_and_wrong_headers(spark, inputs):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     points = inputs.telematics_raw
