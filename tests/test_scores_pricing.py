@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,26 @@ def test_required_fields(spark):
         ("Missing required fields: driver_id, coverage_details", "driver_id is required")
     ]
     assert feeds.accepted(df, ("driver_id",)).count() == 1
+
+
+def test_webhook_totals_join_types_and_not_events(spark):
+    """As many rows meet the subscriptions as there are types; repeated subscriptions, events without a type or id, repeated events."""
+    events = spark.createDataFrame(
+        [(k, "a") for k in range(50)] + [(7, "a"), (60, "b"), (None, "b"), (61, "c"), (62, None)], "event_id long, event_type string"
+    )
+    kind = "webhook_id long, partner_name string, is_active boolean, events array<string>, created_at timestamp_ntz"
+    day = datetime(2024, 1, 1)
+    subscriptions = spark.createDataFrame(
+        [(1, "p", True, ["a", "b", "a"], day), (2, "q", True, ["a"], day), (2, "q", True, ["a"], day), (None, None, True, ["b"], day),
+         (3, "p", False, ["a"], day), (4, "p", True, [None, "d"], day), (5, "p", True, ["a"], datetime(2023, 1, 1))],
+        kind,
+    )
+    got = feeds.webhook_totals(events, subscriptions, "2024-01-02 00:00:00")
+    rows = {(r["event_type"], r["webhook_id"], r["partner_name"]): (r["events"], r["first_event"], r["last_event"]) for r in got.collect()}
+    assert rows == {
+        ("a", 1, "p"): (51, 0, 49), ("a", 2, "q"): (102, 0, 49), ("b", 1, "p"): (2, 60, 60), ("b", None, None): (2, 60, 60),
+    }
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("count(1)")  # counted below the join
+    fanned = feeds.webhook_fanout(events, subscriptions, "2024-01-02 00:00:00")
+    assert fanned.count() == sum(n for n, _, _ in rows.values())
