@@ -111,3 +111,34 @@ def test_a_segment_across_the_globe_takes_few_cells(spark):
     assert (got[2]["accidents"], got[2]["fatal"]) == (7, 7)
     kinds = context.accident_rows_on_routes(segments, accidents, "2001-08-01").filter("route_id = 2").collect()
     assert [(r["severity"], r["weather_conditions"], r["accidents"]) for r in kinds] == [("fatal", None, 7)]
+
+
+def test_small_boxes_are_sent_once(spark):
+    """Counts of short segments equal a walk through all pairs, on cell borders too; each segment is one row of the join."""
+    rng = random.Random(6)
+    grid = [k * 2.0**-7 for k in range(-40, 41)]
+
+    def place():
+        return (rng.choice(grid), rng.choice(grid)) if rng.random() < 0.5 else (rng.uniform(-0.3, 0.3), rng.uniform(-0.3, 0.3))
+
+    steps = (0.0, 2.0**-7, 2.0**-5, 0.02, 1e-5, 0.5, 0.3, 0.1)
+    rows = []
+    for k in range(120):
+        south, west = place()
+        rows.append((k % 100, south, south + rng.choice(steps), west, west + rng.choice(steps)))  # some names twice
+    rows += [(200, 89.99, 95.0, 179.99, 181.0), (201, None, None, 0.0, 0.1), (202, 0.0, 0.1, None, None), (None, -0.1, 0.1, -0.1, 0.1)]
+    areas = spark.createDataFrame(rows, "box long, south double, north double, west double, east double")
+    points = [(*place(), rng.choice(["x", "y", None]), rng.randrange(1, 4)) for _ in range(400)] + [(90.0, 180.0, "x", 1), (91.0, 180.0, "x", 1), (None, 0.0, "x", 1)]
+    table = spark.createDataFrame(points, "accident_lat double, accident_lon double, kind string, n long")
+    want = defaultdict(int)
+    for box, south, north, west, east in rows:
+        for lat, lon, kind, n in points:
+            if None not in (south, north, west, east, lat) and lat <= 90 and south <= lat <= north and west <= lon <= east:
+                want[box, kind] += n
+    for found in (context._segment_sums(areas, table, ["n"], ["kind"]), boxes.sums(areas, table, "accident_lat", "accident_lon", ["n"], ["kind"])):
+        got = {(r["box"], r["kind"]): r["n"] for r in found.groupBy("box", "kind").agg(F.sum("n").alias("n")).collect()}
+        assert got == dict(want)
+    short = areas.filter(~context._is_long())
+    plan = boxes.small_sums(short, table, "accident_lat", "accident_lon", ["n"], ["kind"])._jdf.queryExecution()
+    assert "BroadcastHashJoin" not in plan.sparkPlan().toString()
+    assert plan.optimizedPlan().toString().count("Generate") == 3  # of the points: level, row, column
