@@ -115,18 +115,36 @@ def with_history(
     return with_all_texts(add_pattern_score(zone_free, rules), rules)
 
 
-def _usable_from(rows: pd.DataFrame, rules: TripRules) -> int:
-    """Number of rows after which some trip of the rows is long enough to give features; beyond the rows if none is."""
-    valid = (
-        rows["latitude"].between(-90, 90) & rows["longitude"].between(-180, 180) & rows["speed_mph"].between(0, rules.max_speed_mph)
-        & rows["trip_id"].notna() & rows["timestamp"].notna()
-    ).to_numpy()
-    if not valid.any():
-        return len(rows) + 1
-    trips = rows.loc[valid, ["trip_id", "timestamp"]].groupby("trip_id")["timestamp"]
-    minutes = (trips.cummax() - trips.cummin()).dt.total_seconds().to_numpy() / 60
-    found = np.flatnonzero(minutes >= rules.min_trip_minutes)
-    return int(np.flatnonzero(valid)[found[0]]) + 1 if len(found) else len(rows) + 1
+def _usable_points(rows: pd.DataFrame, rules: TripRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the valid points, and the trip number and microseconds of each: made once for all runs of the rows."""
+
+    def within(name: str, low: float, high: float) -> np.ndarray:
+        values = rows[name].to_numpy("float64", na_value=np.nan)
+        return (values >= low) & (values <= high)
+
+    trips, _ = pd.factorize(rows["trip_id"])
+    valid = within("latitude", -90, 90) & within("longitude", -180, 180) & within("speed_mph", 0, rules.max_speed_mph)
+    valid &= (trips >= 0) & rows["timestamp"].notna().to_numpy()
+    places = np.flatnonzero(valid)
+    return places, trips[places], rows["timestamp"].to_numpy("datetime64[us]")[places].astype("int64")
+
+
+def _usable_from(points: tuple[np.ndarray, np.ndarray, np.ndarray], begin: int, end: int, rules: TripRules) -> int:
+    """Number of rows of ``begin`` to ``end`` after which some trip of them is long enough to give features; beyond them if
+    none is."""
+    places, trips, times = points
+    low, high = np.searchsorted(places, (begin, end))
+    trips, times = trips[low:high], times[low:high]
+    if not len(times):
+        return end - begin + 1
+    if (times[1:] >= times[:-1]).all():
+        _, first, trip = np.unique(trips, return_index=True, return_inverse=True)
+        spans = times - times[first][trip]
+    else:  # kept points may be later than those that arrived after them
+        by_trip = pd.Series(times).groupby(trips)
+        spans = (by_trip.cummax() - by_trip.cummin()).to_numpy()
+    found = np.flatnonzero(spans / 1e6 / 60 >= rules.min_trip_minutes)
+    return int(places[low + found[0]]) - begin + 1 if len(found) else end - begin + 1
 
 
 def with_full_buckets(points: DataFrame, size: int = 1000, retry: bool = False, rules: TripRules = TRIP_RULES) -> DataFrame:
@@ -144,11 +162,14 @@ def with_full_buckets(points: DataFrame, size: int = 1000, retry: bool = False,
     def ends_of(rows: pd.DataFrame) -> list[int]:
         if not retry:
             return list(range(size, len(rows) + 1, size))
+        if len(rows) < size:
+            return []
+        points = _usable_points(rows, rules)
         ends, begin = [], 0
         while begin + size <= len(rows):
-            need = _usable_from(rows.iloc[begin : begin + size], rules)
+            need = _usable_from(points, begin, begin + size, rules)
             if need > size:
-                need = _usable_from(rows.iloc[begin:], rules)
+                need = _usable_from(points, begin, len(rows), rules)
             if need > len(rows) - begin:
                 break
             begin += max(size, need)

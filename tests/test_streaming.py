@@ -7,6 +7,7 @@ import tempfile
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +285,33 @@ def test_malformed_envelopes_are_named(spark):
     left = {r["value"]: r["reason"] for r in realtime.malformed_envelopes(df, schema).collect()}
     assert set(left) == set(texts) - {good}
     assert left[None] == "no text" and left["{not json"] == "no driver or not JSON" and left[texts[3]] == "no usable time" == left[texts[4]]
+
+
+def test_usable_runs_need_one_look_at_the_points():
+    """The first row of each run that completes a long enough trip, against a walk, for points in and out of order."""
+    from roadrisk.config import TRIP_RULES
+    from roadrisk.streaming import history
+
+    rng = random.Random(3)
+    for turn in range(60):
+        rows = []
+        for _ in range(rng.randrange(1, 90)):
+            at = None if rng.random() < 0.05 else START + timedelta(microseconds=rng.randrange(600) * rng.choice([1_000_000, 999_999]))
+            rows.append((at, rng.choice(["a", "b", None]), rng.choice([40.0, 40.0, 95.0, None]), -74.0, rng.choice([30.0, 30.0, 250.0, None])))
+        if turn % 2:
+            rows.sort(key=lambda r: (r[0] is None, r[0] or START))
+        frame = pd.DataFrame(rows, columns=["timestamp", "trip_id", "latitude", "longitude", "speed_mph"])
+        frame["timestamp"] = frame["timestamp"].astype("datetime64[ns]")
+        points = history._usable_points(frame, TRIP_RULES)
+        for begin in range(0, len(rows), 7):
+            for end in (begin + 5, len(rows)):
+                spans, want = {}, min(end, len(rows)) - begin + 1
+                for k, (at, trip, lat, _, mph) in enumerate(rows[begin:end]):
+                    if None in (at, trip, lat, mph) or lat > 90 or mph > 200:
+                        continue
+                    first, last = spans.get(trip, (at, at))
+                    spans[trip] = first, last = min(first, at), max(last, at)
+                    if (last - first).total_seconds() >= 120:
+                        want = k + 1
+                        break
+                assert history._usable_from(points, begin, min(end, len(rows)), TRIP_RULES) == want
