@@ -9,8 +9,10 @@ The posting lists of an inverted index over set prefixes are worked through with
 Steps: (1) one pass counts shingles in a table of fixed size, which orders them from rare to common; (2) a second
 pass sends each distinct set's prefix, without which no partner can be found, to index buckets; equal sets of a
 text block are sent once; (3) in each list every set meets the leader before it, a number of candidates in
-proportion to the list; they are verified on whole sets and grouped; (4) lists that still hold sets of several groups
-give the pairs across groups that pass the size, position and bitmap bounds; verified, they join groups.
+proportion to the list; they are verified on whole sets and grouped; (4) in lists that still hold sets of several groups
+every set meets the nearest one of another group by bitmap, again in proportion to the list, so that near copies whose
+leader is not like them find each other; (5) lists that then hold several groups give all pairs across groups that pass
+the size, position and bitmap bounds; verified, they join groups.
 Links, sets and groups stay distributed, and intermediate tables are written to the shared folder.
 
 Defined cases: null, empty or wordless texts have an empty set, which links with nothing; fewer words than a shingle
@@ -35,6 +37,7 @@ CELLS = 1 << 21  # of the table of shingle counts
 BUCKET_POSTINGS = 500_000
 BLOCK = 64  # entries of a list skipped at once
 BITMAP = 64  # bytes
+ROUNDS = 2  # in which sets meet the nearest one of another group
 COUNT_SLICES = 32
 PROFILE = ["doc_id", "n_shingles", "set", "slice", "cells"]
 MOST_MARKS = 1 << 23  # bits that tell which documents to read again
@@ -198,15 +201,46 @@ def _leaders(percent: int):
     return pairs
 
 
+def _rooted(group: pa.Table):
+    """token, set, n, at, root and bits of a bucket's lists, each ordered by size and position."""
+    token, key, n, at, root = (group.column(c).to_numpy() for c in ("token", "set", "n", "at", "root"))
+    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
+    order = np.lexsort((key, at, n, token))
+    return token[order], key[order], n[order].astype(np.int64), at[order].astype(np.int64), root[order], bits[order]
+
+
+def _nearest(percent: int):
+    """Candidates (a, b): each set of a list with the one of another group that passes the bounds by the most."""
+
+    def pairs(group: pa.Table) -> pa.Table:
+        token, key, n, at, root, bits = _rooted(group)
+        out = []
+        for begin, end in _runs(token):
+            if (root[begin:end] == root[begin]).all():
+                continue
+            lows = begin + np.searchsorted(n[begin:end], -(-percent * n[begin:end] // 100))
+            highs = begin + np.searchsorted(n[begin:end], 100 * n[begin:end] // percent, "right")
+            for k in range(begin, end):
+                near = lows[k - begin] + np.flatnonzero(root[lows[k - begin] : highs[k - begin]] != root[k])
+                near = near[_fits(n[near], at[near], n[k], at[k], percent)]
+                if not len(near):
+                    continue
+                total = n[near] + n[k]
+                spare = total - 2 * least_overlap(total, percent) - np.bitwise_count(bits[near] ^ bits[k]).sum(1).astype(np.int64)
+                best = spare.argmax()
+                if spare[best] >= 0:
+                    out.append((min(key[near[best]], key[k]), max(key[near[best]], key[k])))
+        both = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return pairs
+
+
 def _across(percent: int):
     """Candidates between different groups of a list, blocks and pairs skipped by size, position and bitmap."""
 
     def pairs(group: pa.Table) -> pa.Table:
-        token, key, n, at, root = (group.column(c).to_numpy() for c in ("token", "set", "n", "at", "root"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
-        order = np.lexsort((key, at, n, token))
-        token, key, root, bits = token[order], key[order], root[order], bits[order]
-        n, at = n[order].astype(np.int64), at[order].astype(np.int64)
+        token, key, n, at, root, bits = _rooted(group)
         out = []
         for begin, end in _runs(token):
             if (root[begin:end] == root[begin]).all():
@@ -275,6 +309,19 @@ def _marks(ids: DataFrame, bits: int) -> np.ndarray:
     return table.ravel()
 
 
+def _marked(sets: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose set is among ``ends``, with a few others, found without shuffling elements."""
+    bits = min(MOST_MARKS, max(1 << 12, 1 << (16 * ends.count()).bit_length()))
+    marks = sets.sparkSession.sparkContext.broadcast(_marks(ends, bits))
+
+    def chosen(batches):
+        for batch in batches:
+            place = batch.column(0).to_numpy() & (bits - 1)
+            yield batch.filter(pa.array((marks.value[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)))
+
+    return sets.select("set", "elements").mapInArrow(chosen, "set long, elements binary")
+
+
 def _whole_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(set, elements, bits) of the wanted sets, from one text of each.
 
@@ -303,6 +350,16 @@ def _whole_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: i
     return written(read.join(holders, ["id", "set"], "left_semi").select("set", "elements", "bits"))
 
 
+def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    rooted = lists.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
+    return rooted.withColumn("root", F.coalesce("root", "set"))
+
+
+def _several(rooted: DataFrame) -> DataFrame:
+    """Tokens whose lists hold sets of several groups."""
+    return rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
+
+
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document."""
     spark = docs.sparkSession
@@ -319,15 +376,24 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cells: i
     links = written(_verified(first, sets, percent))
     roots = written(components(links))
 
-    known = sets.select("set", "bits").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
-    known = known.select("set", "bits", F.coalesce("root", "set").alias("root"))
-    labelled = lists.join(known, "set")
-    several = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    labelled = labelled.join(several, "token", "left_semi")
-    second = labelled.select("*", split).groupBy("bucket").applyInArrow(_across(percent), "a long, b long").distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    stars = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(stars.unionByName(_verified(second, sets, percent)))
+    rooted = _with_roots(lists, roots)
+    mixed_lists = written(rooted.join(_several(rooted), "token", "left_semi").drop("root").join(sets.select("set", "bits"), "set"))
+
+    def joined(roots: DataFrame, candidates) -> tuple[DataFrame, DataFrame]:
+        """The verified candidates of lists that hold several of the groups, and the groups that they join."""
+        rooted = _with_roots(mixed_lists, roots)
+        rooted = rooted.join(_several(rooted), "token", "left_semi")
+        pairs = written(rooted.select("*", split).groupBy("bucket").applyInArrow(candidates, "a long, b long").distinct())
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("set"))
+        found = written(_verified(pairs, _marked(sets, ends), percent))
+        stars = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return found, written(components(stars.unionByName(found)))
+
+    for _ in range(ROUNDS):
+        found, roots = joined(roots, _nearest(percent))
+        if found.isEmpty():
+            break
+    roots = joined(roots, _across(percent))[1]
 
     names = members.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
     names = names.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select("set", F.coalesce("root", "set").alias("root"), "least")

@@ -243,6 +243,27 @@ def test_jaccard_equals_brute_force_on_chains_and_groups(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute_groups(rows)
 
 
+def test_jaccard_compares_near_copies_in_proportion_to_their_lists(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base, rows = [f"c{k}" for k in range(300)], []
+    for k in range(240):  # a third is close to most others, a third to some, a third is far from all
+        words = list(base)
+        for place in rng.choice(300, (1, 3, 8)[k % 3], replace=False):
+            words[place] = f"n{k}x{place}"
+        rows.append((k, " ".join(words)))
+    compared, verified = [], jaccard._verified
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute_groups(rows)
+    assert 10 < got.component_id.nunique() < 150
+    assert sum(compared) < 10 * len(rows)
+
+
 def test_jaccard_edge_cases(odd, none):
     rows = jaccard.groups(odd).toPandas()
     assert len(rows) == len(odd_rows())
