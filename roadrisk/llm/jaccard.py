@@ -12,7 +12,9 @@ text block are sent once; (3) in each list every set meets the leader before it,
 proportion to the list; they are verified on whole sets and grouped; (4) in lists that still hold sets of several groups
 every set meets the nearest one of another group by bitmap, again in proportion to the list, so that near copies whose
 leader is not like them find each other; (5) lists that then hold several groups give all pairs across groups that pass
-the size, position and bitmap bounds; verified, they join groups.
+the size, position and bitmap bounds; verified, they join groups. Entries that no set of another group fits leave the
+lists before (4), as groups only grow. Before whole sets are compared, a sketch of each, in proportion to its size, rules
+out pairs that differ too much.
 Links, sets and groups stay distributed, and intermediate tables are written to the shared folder.
 
 Defined cases: null, empty or wordless texts have an empty set, which links with nothing; fewer words than a shingle
@@ -68,10 +70,23 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
-def bitmap(shingle_set: np.ndarray) -> bytes:
-    """Parity of the elements in each of 512 cells: two sets differ in at least as many elements as bits."""
-    cells = np.bincount((shingle_set >> np.uint64(7)).astype(np.int64) % (8 * BITMAP), minlength=8 * BITMAP)
-    return np.packbits(cells & 1).tobytes()
+def bitmap(shingle_set: np.ndarray, cells: int = 8 * BITMAP) -> bytes:
+    """Parity of the elements in each cell, 512 if not given: two sets differ in at least as many elements as bits."""
+    counts = np.bincount((shingle_set >> np.uint64(7)).astype(np.int64) % cells, minlength=cells)
+    return np.packbits(counts & 1).tobytes()
+
+
+def sketch(shingle_set: np.ndarray) -> bytes:
+    """A bitmap with about as many cells as the set has elements, a power of two."""
+    return bitmap(shingle_set, max(8 * BITMAP, 1 << len(shingle_set).bit_length()))
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Elements that two sets differ in at least, by their sketches; the longer one is folded to the size of the other."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _distinct_sets(batch_texts, ids: WordIds, words: int):
@@ -209,6 +224,35 @@ def _rooted(group: pa.Table):
     return token[order], key[order], n[order].astype(np.int64), at[order].astype(np.int64), root[order], bits[order]
 
 
+def _able(percent: int):
+    """The entries of a bucket's lists that a set of another group fits by size, position and bitmap."""
+
+    def entries(group: pa.Table) -> pa.Table:
+        token, key, n, at, root, bits = _rooted(group)
+        keep = np.zeros(len(token), bool)
+        for begin, end in _runs(token):
+            if (root[begin:end] == root[begin]).all():
+                continue
+            highs = begin + np.searchsorted(n[begin:end], 100 * n[begin:end] // percent, "right")
+            for k in range(begin, end):
+                near = k + 1 + np.flatnonzero(root[k + 1 : highs[k - begin]] != root[k])
+                near = near[_fits(n[near], at[near], n[k], at[k], percent)]
+                if not len(near) or (keep[k] and keep[near].all()):
+                    continue
+                total = n[near] + n[k]
+                differ = np.bitwise_count(bits[near] ^ bits[k]).sum(1).astype(np.int64)
+                near = near[differ <= total - 2 * least_overlap(total, percent)]
+                keep[near] = True
+                keep[k] |= len(near) > 0
+        held = [row.tobytes() for row in bits[keep]]
+        return pa.table({
+            "token": pa.array(token[keep]), "set": pa.array(key[keep]), "n": pa.array(n[keep].astype(np.int32)),
+            "at": pa.array(at[keep].astype(np.int32)), "bits": pa.array(held, pa.binary()),
+        })
+
+    return entries
+
+
 def _nearest(percent: int):
     """Candidates (a, b): each set of a list with the one of another group that passes the bounds by the most."""
 
@@ -264,24 +308,44 @@ def _across(percent: int):
     return pairs
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity."""
+def _checked(pairs: DataFrame, sets: DataFrame, value: str, enough) -> DataFrame:
+    """The pairs for which ``enough`` holds of that column of both sets."""
 
     def check(batches):
         for batch in batches:
-            a, b, left, right = (batch.column(k).to_pylist() for k in range(4))
-            keep = np.zeros(len(a), bool)
-            for k, (x, y) in enumerate(zip(left, right, strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
-
-    left = sets.select(F.col("set").alias("a"), F.col("elements").alias("left"))
-    right = sets.select(F.col("set").alias("b"), F.col("elements").alias("right"))
+            left, right = (batch.column(k).to_pylist() for k in (2, 3))
+            keep = pa.array([enough(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    left = sets.select(F.col("set").alias("a"), F.col(value).alias("left"))
+    right = sets.select(F.col("set").alias("b"), F.col(value).alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sketches do not rule out."""
+    sized = F.struct("n", "sketch")
+
+    def enough(x, y):
+        total = x["n"] + y["n"]
+        return least_difference(x["sketch"], y["sketch"]) <= total - 2 * least_overlap(total, percent)
+
+    return _checked(pairs, sets.select("set", sized.alias("sized")), "sized", enough)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets reach the similarity; only sets of likely pairs are shuffled."""
+
+    def enough(x, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    likely = written(_likely(pairs, sets, percent))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("set"))
+    return _checked(likely, _marked(sets, ends), "elements", enough)
+
+
 def _marks(ids: DataFrame, bits: int) -> np.ndarray:
     """A packed table of ``bits`` bits, set where an id falls; parts are united in two rounds, as in ``added_slices``."""
     width = bits // 8 // COUNT_SLICES
@@ -323,7 +387,7 @@ def _marked(sets: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set, elements, bits) of the wanted sets, from one text of each.
+    """(set, n, elements, bits, sketch) of the wanted sets, from one text of each.
 
     The ids to read again are marked in a table of bits, bounded in size, so that texts are not shuffled; what it lets through
     in excess falls out of the join."""
@@ -340,14 +404,13 @@ def _whole_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: i
             marked = batch.filter(pa.array((marks.value[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)))
             for part, texts in text_blocks([marked]):
                 own = [shingles(t, ids, words) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([digest(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([bitmap(s) for s in own], pa.binary())],
-                    ["id", "set", "elements", "bits"],
-                )
+                held = [pa.array([f(s) for s in own], pa.binary()) for f in (np.ndarray.tobytes, bitmap, sketch)]
+                numbers = [pa.array([f(s) for s in own], pa.int64()) for f in (digest, len)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, *held], ["id", "set", "n", "elements", "bits", "sketch"])
 
     read = docs.select(F.xxhash64("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    read = read.mapInArrow(elements, "id long, set long, elements binary, bits binary")
-    return written(read.join(holders, ["id", "set"], "left_semi").select("set", "elements", "bits"))
+    read = read.mapInArrow(elements, "id long, set long, n long, elements binary, bits binary, sketch binary")
+    return written(read.join(holders, ["id", "set"], "left_semi").select("set", "n", "elements", "bits", "sketch"))
 
 
 def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -377,15 +440,16 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cells: i
     roots = written(components(links))
 
     rooted = _with_roots(lists, roots)
-    mixed_lists = written(rooted.join(_several(rooted), "token", "left_semi").drop("root").join(sets.select("set", "bits"), "set"))
+    several = rooted.join(_several(rooted), "token", "left_semi").join(sets.select("set", "bits"), "set")
+    several = several.select("token", "set", "n", "at", "root", "bits", split).groupBy("bucket")
+    mixed_lists = written(several.applyInArrow(_able(percent), "token long, set long, n int, at int, bits binary"))
 
     def joined(roots: DataFrame, candidates) -> tuple[DataFrame, DataFrame]:
         """The verified candidates of lists that hold several of the groups, and the groups that they join."""
         rooted = _with_roots(mixed_lists, roots)
         rooted = rooted.join(_several(rooted), "token", "left_semi")
         pairs = written(rooted.select("*", split).groupBy("bucket").applyInArrow(candidates, "a long, b long").distinct())
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("set"))
-        found = written(_verified(pairs, _marked(sets, ends), percent))
+        found = written(_verified(pairs, sets, percent))
         stars = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         return found, written(components(stars.unionByName(found)))
 

@@ -264,6 +264,33 @@ def test_jaccard_compares_near_copies_in_proportion_to_their_lists(spark, monkey
     assert sum(compared) < 10 * len(rows)
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(9)
+    for n, m, common in ((3, 5, 2), (700, 760, 690), (1023, 1024, 1000), (5000, 900, 800), (6000, 6000, 0)):
+        pool = rng.integers(0, 1 << 63, n + m - common).astype(np.uint64)
+        x, y = pool[:n], pool[n - common :]
+        least = jaccard.least_difference(jaccard.sketch(x), jaccard.sketch(y))
+        assert least <= n + m - 2 * common and (common or least > 0.4 * n)
+        assert least == jaccard.least_difference(jaccard.sketch(y), jaccard.sketch(x))
+
+
+def test_jaccard_reads_no_whole_sets_of_long_texts_that_differ(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    stock = [" ".join(f"s{k}w{j}" for j in range(125)) for k in range(40)]
+    rows = [(k, " ".join(stock[b] for b in rng.choice(40, 20, replace=False))) for k in range(24)]
+    rows += [(100 + k, f"{rows[k][1]} end{k}") for k in range(4)]
+    read, marked = [], jaccard._marked
+
+    def counted(sets, ends):
+        read.append(ends.count())
+        return marked(sets, ends)
+
+    monkeypatch.setattr(jaccard, "_marked", counted)
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute_groups(rows)
+    assert got.component_id.nunique() == 24 and sum(read) <= 8
+
+
 def test_jaccard_edge_cases(odd, none):
     rows = jaccard.groups(odd).toPandas()
     assert len(rows) == len(odd_rows())
