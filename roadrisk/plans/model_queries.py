@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from roadrisk.config import POINTS_PER_TASK
 from roadrisk.operators import ml, stats, trips
 from roadrisk.plans.registry import query
 from roadrisk.plans.relations import Inputs
 from roadrisk.sources import models as store
-from roadrisk.sources.scratch import cut_lineage, new_folder
+from roadrisk.sources.scratch import cut_lineage, new_folder, sized_shuffles
 
 _features: dict[tuple[str, str], DataFrame] = {}
 _trained: dict[tuple[str, str, str], ml.TrainedModels] = {}
@@ -17,7 +18,9 @@ _trained: dict[tuple[str, str, str], ml.TrainedModels] = {}
 def features(i: Inputs) -> DataFrame:
     key = (i.spark.sparkContext.applicationId, i.folder)
     if key not in _features:
-        _features[key] = cut_lineage(trips.feature_table(trips.features_of_all_drivers(i.telematics_raw)))
+        points = i.telematics_raw
+        with sized_shuffles(i.spark, points.count(), POINTS_PER_TASK):
+            _features[key] = cut_lineage(trips.feature_table(trips.features_of_all_drivers(points)))
     return _features[key]
 
 

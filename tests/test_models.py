@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from roadrisk.config import MODEL_RULES
 from roadrisk.operators import ml, stats
+from roadrisk.plans import model_queries
 from roadrisk.sources import models as store
+from roadrisk.sources.scratch import SHUFFLE_SETTING, sized_shuffles
 
 RULES = replace(MODEL_RULES, trees=10, rounds=5, forest_depth=5, boosting_depth=3)
 
@@ -118,3 +120,24 @@ def test_noise_is_normal_and_stable(spark):
 def test_target_from_present_columns_only(spark):
     df = spark.createDataFrame([("d", 100, 1.0)], "driver_id string, harsh_braking_count int, night_driving_ratio double")
     assert ml.with_synthetic_target(df, noise_sd=0.0).first()["risk_score"] == pytest.approx(0.8)
+
+
+def test_shuffles_grow_with_the_rows_and_go_back(spark):
+    before = spark.conf.get(SHUFFLE_SETTING)
+    with sized_shuffles(spark, 70_000_001, 1_000_000):
+        assert spark.conf.get(SHUFFLE_SETTING) == "71"
+    with sized_shuffles(spark, 10, 1_000_000):
+        assert spark.conf.get(SHUFFLE_SETTING) == before
+    with pytest.raises(ValueError), sized_shuffles(spark, 70_000_001, 1_000_000):
+        raise ValueError
+    assert spark.conf.get(SHUFFLE_SETTING) == before
+
+
+def test_features_are_shuffled_in_parts_of_bounded_size(spark, inputs, monkeypatch):
+    before, seen = spark.conf.get(SHUFFLE_SETTING), []
+    monkeypatch.setattr(model_queries, "_features", {})
+    monkeypatch.setattr(model_queries, "POINTS_PER_TASK", 1000)
+    monkeypatch.setattr(model_queries, "cut_lineage", lambda df: seen.append(spark.conf.get(SHUFFLE_SETTING)) or df)
+    model_queries.features(inputs)
+    points = inputs.telematics_raw.count()
+    assert points > 4000 and seen == [str(-(-points // 1000))] and spark.conf.get(SHUFFLE_SETTING) == before
