@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -160,6 +161,9 @@ class TrainedModels:
     importance: dict[str, dict[str, float]] = field(default_factory=dict)
     failures: dict[str, str] = field(default_factory=dict)
 
+    def parts(self) -> tuple[dict, ...]:
+        return self.models, self.metrics, self.importance, self.failures
+
     def choose(self, name: str) -> RiskModel:
         """The named family, else the first trained one."""
         if not self.models:
@@ -181,14 +185,15 @@ def _preparation(train: DataFrame, names: Sequence[str]) -> PipelineModel:
     ).fit(train)
 
 
-def _fit_binary(make, train: DataFrame, labels: Sequence[str]) -> dict[str, object]:
-    """One classifier per class, fitted side by side."""
+def _side_by_side(fits: Mapping[str, Callable[[], object]]) -> dict[str, object]:
+    """Results of independent fits, which wait for many small jobs rather than for cores."""
+    with ThreadPool(max(1, len(fits))) as pool:
+        return dict(zip(fits, pool.map(lambda fit: fit(), fits.values())))
 
-    def one(label: str):
-        return label, make().fit(train.withColumn("_is", (F.col("category") == label).cast("double")))
 
-    with ThreadPool(len(labels)) as pool:
-        return dict(pool.map(one, labels))
+def _fit_binary(make, train: DataFrame, label: str) -> object:
+    """The classifier of one class against the others."""
+    return make().fit(train.withColumn("_is", (F.col("category") == label).cast("double")))
 
 
 def fit_family(
@@ -204,22 +209,22 @@ def fit_family(
     if name == "random_forest":
         indexer = StringIndexer(inputCol="category", outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
         forest = {"numTrees": rules.trees, "maxDepth": rules.forest_depth, "seed": rules.seed, **common}
-        regressor = RandomForestRegressor(labelCol="risk_score", **forest).fit(rows)
-        classifiers = {"all": RandomForestClassifier(labelCol="_label", **forest).fit(indexer.transform(rows))}
+        regressor = RandomForestRegressor(labelCol="risk_score", **forest)
+        fits = {"all": lambda: RandomForestClassifier(labelCol="_label", **forest).fit(indexer.transform(rows))}
     elif name == "logistic_regression":
-        regressor = LinearRegression(labelCol="risk_score", **common).fit(rows)
-        classifiers = _fit_binary(
-            lambda: LogisticRegression(
+        regressor = LinearRegression(labelCol="risk_score", **common)
+
+        def classifier():
+            return LogisticRegression(
                 labelCol="_is",
                 # (n - 1) / n: the penalty as if features had unit population deviation
                 regParam=(n - 1) / n / (n * rules.inverse_penalty),
                 maxIter=rules.max_iterations,
                 standardization=False,
                 **common,
-            ),
-            rows,
-            labels,
-        )
+            )
+
+        fits = {label: partial(_fit_binary, classifier, rows, label) for label in labels}
     elif name == "gradient_boosting":
         boost = {
             "maxIter": rules.rounds,
@@ -228,11 +233,12 @@ def fit_family(
             "seed": rules.seed,
             **common,
         }
-        regressor = GBTRegressor(labelCol="risk_score", **boost).fit(rows)
-        classifiers = _fit_binary(lambda: GBTClassifier(labelCol="_is", **boost), rows, labels)
+        regressor = GBTRegressor(labelCol="risk_score", **boost)
+        fits = {label: partial(_fit_binary, lambda: GBTClassifier(labelCol="_is", **boost), rows, label) for label in labels}
     else:
         raise ValueError(f"unknown model family {name}")
-    return RiskModel(name, list(names), preparation, regressor, classifiers, labels, n)
+    classifiers = _side_by_side({"": lambda: regressor.fit(rows), **fits})
+    return RiskModel(name, list(names), preparation, classifiers.pop(""), classifiers, labels, n)
 
 
 def importance_of(model: RiskModel) -> dict[str, float]:
@@ -271,7 +277,7 @@ def train_models(
 ) -> TrainedModels:
     """Train every family; a failing one is recorded and skipped, too few rows train nothing.
 
-    The driver-side loop runs over families only. Prepared rows are written once as a checkpoint,
+    The driver-side loop runs over families only, which train side by side. Prepared rows are written once as a checkpoint,
     so iterations do not recompute the features and survive lost executors.
     """
     names = [n for n in numeric_features(features, target) if n != "risk_score"]
@@ -287,15 +293,27 @@ def train_models(
         return result
     train = rows.filter("split = 'train'").drop("split")
     test = rows.filter("split = 'test'").drop("split")
-    for name in families:
+
+    def one(name: str) -> tuple:
+        model = weights = metrics = failure = None
         try:
             model = fit_family(name, train, names, rules)
-            result.models[name] = model  # usable even if its evaluation fails
-            result.importance[name] = importance_of(model)
-            result.metrics[name] = evaluate(model, test)
+            weights = importance_of(model)
+            metrics = evaluate(model, test)
         except Exception as error:  # noqa: BLE001
             log.warning("training %s failed: %s", name, error)
-            result.failures[name] = str(error)
+            failure = str(error)
+        return model, weights, metrics, failure
+
+    for name, (model, weights, metrics, failure) in _side_by_side({name: partial(one, name) for name in families}).items():
+        if model is not None:
+            result.models[name] = model  # usable even if its evaluation fails
+        if weights is not None:
+            result.importance[name] = weights
+        if metrics is not None:
+            result.metrics[name] = metrics
+        if failure is not None:
+            result.failures[name] = failure
     return result
 
 

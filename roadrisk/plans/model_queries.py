@@ -27,17 +27,17 @@ def features(i: Inputs) -> DataFrame:
 def trained(i: Inputs, *families: str) -> ml.TrainedModels:
     """Models of the named families, all by default, trained once per family."""
     wanted = families or ml.FAMILIES
+    keys = {family: (i.spark.sparkContext.applicationId, i.folder, family) for family in wanted}
+    missing = [family for family in wanted if keys[family] not in _trained]
+    if missing:  # together, so that their rows are prepared once
+        trained_now = ml.train_models(features(i), families=missing)
+        _trained.update((keys[family], trained_now) for family in missing)
     merged = None
     for family in wanted:
-        key = (i.spark.sparkContext.applicationId, i.folder, family)
-        if key not in _trained:
-            _trained[key] = ml.train_models(features(i), families=(family,))
-        part = _trained[key]
+        part = _trained[keys[family]]
         merged = merged or ml.TrainedModels(part.features)
-        merged.models.update(part.models)
-        merged.metrics.update(part.metrics)
-        merged.importance.update(part.importance)
-        merged.failures.update(part.failures)
+        for into, of in zip(merged.parts(), part.parts()):
+            into.update({k: v for k, v in of.items() if k == family})
     return merged
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 from dataclasses import replace
 
 import pytest
@@ -141,3 +142,32 @@ def test_features_are_shuffled_in_parts_of_bounded_size(spark, inputs, monkeypat
     model_queries.features(inputs)
     points = inputs.telematics_raw.count()
     assert points > 4000 and seen == [str(-(-points // 1000))] and spark.conf.get(SHUFFLE_SETTING) == before
+
+
+def test_families_train_side_by_side(features, monkeypatch):
+    together = threading.Barrier(2, timeout=60)
+
+    def fit(name, *rest):
+        together.wait()
+        raise ValueError(name)
+
+    monkeypatch.setattr(ml, "fit_family", fit)
+    result = ml.train_models(features, families=("one", "two"), rules=RULES)
+    assert list(result.failures.items()) == [("one", "one"), ("two", "two")] and not result.models
+    assert ml.train_models(features, families=(), rules=RULES).failures == {}
+
+
+def test_rows_are_prepared_once_for_all_missing_families(inputs, monkeypatch):
+    asked = []
+
+    def train(features, families):
+        asked.append(list(families))
+        return ml.TrainedModels(["f"], {n: n for n in families}, {n: {"m": 1.0} for n in families}, {n: {"f": 1.0} for n in families})
+
+    monkeypatch.setattr(model_queries, "_trained", {})
+    monkeypatch.setattr(model_queries, "features", lambda i: None)
+    monkeypatch.setattr(ml, "train_models", train)
+    assert list(model_queries.trained(inputs, "random_forest").models) == ["random_forest"]
+    merged = model_queries.trained(inputs)
+    assert [list(part) for part in merged.parts()] == [list(ml.FAMILIES)] * 3 + [[]]
+    assert asked == [["random_forest"], ["logistic_regression", "gradient_boosting"]]
