@@ -170,6 +170,14 @@ class TrainedModels:
             raise ValueError("Models must be trained before prediction")
         return self.models.get(name) or next(iter(self.models.values()))
 
+    def whole(self, families: Sequence[str], part: str = "models") -> TrainedModels:
+        """Itself if ``part`` has all of the families, else an error with their failures: a shorter result looks whole."""
+        missing = [name for name in families if name not in getattr(self, part)]
+        if missing:
+            reasons = "; ".join(f"{name}: {self.failures.get(name, 'not trained')}" for name in missing)
+            raise ValueError(f"Training failed for {reasons}")
+        return self
+
 
 def _preparation(train: DataFrame, names: Sequence[str]) -> PipelineModel:
     """Assembled, centred vectors of unit sample deviation.
@@ -275,8 +283,9 @@ def train_models(
     families: Sequence[str] = FAMILIES,
     rules: ModelRules = MODEL_RULES,
 ) -> TrainedModels:
-    """Train every family; a failing one is recorded and skipped, too few rows train nothing.
+    """Train every family; a failing one is recorded and skipped, too few rows train nothing and fail all of them.
 
+    A caller that shows the result as that of all families asks for it with ``TrainedModels.whole``.
     The driver-side loop runs over families only, which train side by side. Prepared rows are written once as a checkpoint,
     so iterations do not recompute the features and survive lost executors.
     """
@@ -290,6 +299,7 @@ def train_models(
     )
     result = TrainedModels(list(names))
     if rows.limit(rules.min_rows).count() < rules.min_rows:
+        result.failures.update((name, f"fewer than {rules.min_rows} rows") for name in families)
         return result
     train = rows.filter("split = 'train'").drop("split")
     test = rows.filter("split = 'test'").drop("split")
@@ -302,7 +312,7 @@ def train_models(
             metrics = evaluate(model, test)
         except Exception as error:  # noqa: BLE001
             log.warning("training %s failed: %s", name, error)
-            failure = str(error)
+            failure = str(error) or repr(error)
         return model, weights, metrics, failure
 
     for name, (model, weights, metrics, failure) in _side_by_side({name: partial(one, name) for name in families}).items():

@@ -25,26 +25,36 @@ def features(i: Inputs) -> DataFrame:
 
 
 def trained(i: Inputs, *families: str) -> ml.TrainedModels:
-    """Models of the named families, all by default, trained once per family."""
+    """Models of the named families, all by default, trained once per family.
+
+    A family without a model is an error; one that failed is trained again when it is next asked for.
+    """
     wanted = families or ml.FAMILIES
     keys = {family: (i.spark.sparkContext.applicationId, i.folder, family) for family in wanted}
     missing = [family for family in wanted if keys[family] not in _trained]
+    found = {family: _trained[keys[family]] for family in wanted if family not in missing}
     if missing:  # together, so that their rows are prepared once
         trained_now = ml.train_models(features(i), families=missing)
-        _trained.update((keys[family], trained_now) for family in missing)
+        found.update((family, trained_now) for family in missing)
+        _trained.update((keys[family], trained_now) for family in missing if family not in trained_now.failures)
     merged = None
     for family in wanted:
-        part = _trained[keys[family]]
+        part = found[family]
         merged = merged or ml.TrainedModels(part.features)
         for into, of in zip(merged.parts(), part.parts()):
             into.update({k: v for k, v in of.items() if k == family})
-    return merged
+    return merged.whole(wanted)
 
 
 def scored_by(i: Inputs, family: str) -> DataFrame:
     return trained(i, family).choose(family).transform(features(i))
 
 
+def compared(i: Inputs) -> DataFrame:
+    """Metrics of all families."""
+    return ml.metrics_table(trained(i).whole(ml.FAMILIES, "metrics"), i.spark)
+
+
 @query("ml_random_forest")
 def _(i):
     return scored_by(i, "random_forest")
@@ -62,12 +72,12 @@ def _(i):
 
 @query("ml_train_all")
 def _(i):
-    return ml.metrics_table(trained(i), i.spark)
+    return compared(i)
 
 
 @query("ml_compare")
 def _(i):
-    table = ml.metrics_table(trained(i), i.spark)
+    table = compared(i)
     best = stats.best_models(table).select(F.struct("best_regression", "best_classification").alias("b"))
     return table.withColumn("_b", best.scalar()).select("*", "_b.*").drop("_b")
 

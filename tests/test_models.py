@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 from dataclasses import replace
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from roadrisk.config import MODEL_RULES
 from roadrisk.operators import ml, stats
 from roadrisk.plans import model_queries
+from roadrisk.plans.catalog import QUERIES
 from roadrisk.sources import models as store
 from roadrisk.sources.scratch import SHUFFLE_SETTING, sized_shuffles
 
@@ -171,3 +173,53 @@ def test_rows_are_prepared_once_for_all_missing_families(inputs, monkeypatch):
     merged = model_queries.trained(inputs)
     assert [list(part) for part in merged.parts()] == [list(ml.FAMILIES)] * 3 + [[]]
     assert asked == [["random_forest"], ["logistic_regression", "gradient_boosting"]]
+
+
+@pytest.fixture
+def fresh(features, monkeypatch):
+    """The model queries on the small table with nothing trained yet; a function that lets one step fail for boosting."""
+    monkeypatch.setattr(model_queries, "_trained", {})
+    monkeypatch.setattr(model_queries, "features", lambda i: features)
+    monkeypatch.setattr(ml, "train_models", partial(ml.train_models, rules=RULES))
+
+    def fail(step, family_of):
+        whole = getattr(ml, step)
+
+        def failing(first, *rest):
+            if family_of(first) == "gradient_boosting":
+                raise OSError("no space left")
+            return whole(first, *rest)
+
+        monkeypatch.setattr(ml, step, failing)
+        return lambda: monkeypatch.setattr(ml, step, whole)
+
+    return fail
+
+
+def models_of(query, spark):
+    return {row["model"] for row in QUERIES[query].run(spark, "small").collect()}
+
+
+def test_a_failed_family_is_no_shorter_comparison(spark, fresh):
+    mend = fresh("fit_family", str)
+    for query in ("ml_compare", "ml_train_all"):
+        with pytest.raises(ValueError, match="gradient_boosting: no space left"):
+            models_of(query, spark)
+    mend()
+    for query in ("ml_compare", "ml_train_all"):  # the failure is not kept
+        assert models_of(query, spark) == set(ml.FAMILIES)
+
+
+def test_a_failed_evaluation_is_no_shorter_comparison(spark, fresh):
+    fresh("evaluate", lambda model: model.name)
+    with pytest.raises(ValueError, match="gradient_boosting: no space left"):
+        models_of("ml_compare", spark)
+    assert QUERIES["ml_gradient_boosting"].run(spark, "small").count() == 400  # the model itself is whole
+
+
+def test_too_few_rows_are_no_empty_comparison(spark, fresh, features, monkeypatch):
+    few = features.limit(4)
+    assert ml.train_models(few).failures == dict.fromkeys(ml.FAMILIES, "fewer than 5 rows")
+    monkeypatch.setattr(model_queries, "features", lambda i: few)
+    with pytest.raises(ValueError, match="fewer than 5 rows"):
+        models_of("ml_compare", spark)
