@@ -84,7 +84,7 @@ def _(i):
 
 @query("ml_importance")
 def _(i):
-    return ml.importance_table(trained(i), i.spark)
+    return ml.importance_table(trained(i).whole(ml.FAMILIES, "importance"), i.spark)
 
 
 @query("ml_predict_score")

@@ -223,3 +223,21 @@ def test_too_few_rows_are_no_empty_comparison(spark, fresh, features, monkeypatc
     monkeypatch.setattr(model_queries, "features", lambda i: few)
     with pytest.raises(ValueError, match="fewer than 5 rows"):
         models_of("ml_compare", spark)
+
+
+@pytest.mark.parametrize("step, family_of", [("fit_family", str), ("importance_of", lambda model: model.name)])
+def test_a_failed_family_is_no_shorter_importance(spark, fresh, step, family_of):
+    mend = fresh(step, family_of)
+    with pytest.raises(ValueError, match="gradient_boosting: no space left"):
+        models_of("ml_importance", spark)
+    mend()
+    assert models_of("ml_importance", spark) == set(ml.FAMILIES)
+
+
+def test_importance_needs_rows_but_no_evaluation(spark, fresh, features, monkeypatch):
+    fresh("evaluate", lambda model: model.name)
+    assert models_of("ml_importance", spark) == set(ml.FAMILIES)
+    monkeypatch.setattr(model_queries, "_trained", {})
+    monkeypatch.setattr(model_queries, "features", lambda i: features.limit(4))
+    with pytest.raises(ValueError, match="fewer than 5 rows"):
+        models_of("ml_importance", spark)
